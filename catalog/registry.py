@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-GROUPS = ["integrity"]
+GROUPS = ["integrity", "privacy", "association", "profile"]
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}

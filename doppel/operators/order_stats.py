@@ -35,6 +35,10 @@ class OrderPlan:
     distinct: dict[str, int] = field(default_factory=dict)
     nulls: dict[str, int] = field(default_factory=dict)
 
+    def only(self, name: str) -> OrderPlan:
+        """The plan of one column."""
+        return OrderPlan(self.rows, {name: self.bounds[name]})
+
 
 def plan_order(df: DataFrame, columns: dict[str, Column], buckets: int | None = None) -> OrderPlan:
     """Count rows and nulls, estimate distinct values, and place bucket bounds."""
@@ -135,19 +139,27 @@ def cumulative_histogram(
     return running_sums(hist, keys, ["value"], sums or {"cum": "n"}, bucket)
 
 
-def rank_table(df: DataFrame, columns: dict[str, Column], plan: OrderPlan) -> DataFrame:
-    """Per column and distinct value: `n` rows, `below` rows under it, and its average rank."""
-    cum = cumulative_histogram(histogram(df, columns), plan, ["column"])
-    return cum.select(
-        "column", "value", "n",
-        (F.col("cum") - F.col("n")).alias("below"),
-        (F.col("cum") - (F.col("n") - 1) / F.lit(2.0)).alias("avg_rank"),
-    )
+def rank_tables(df: DataFrame, columns: dict[str, Column], plan: OrderPlan) -> dict[str, DataFrame]:
+    """Per column, one row per distinct value: `value`, `n` rows, `below` rows under it, average rank.
+
+    Each table reads its own column only, so a columnar source is read once in total.
+    """
+    out = {}
+    for name, value in columns.items():
+        counts = df.select(value.alias("value")).filter("value is not null").groupBy("value").agg(
+            F.count(F.lit(1)).alias("n")
+        )
+        cum = cumulative_histogram(counts.withColumn("column", F.lit(name)), plan.only(name), ["column"])
+        out[name] = cum.select(
+            "value", "n", (F.col("cum") - F.col("n")).alias("below"),
+            (F.col("cum") - (F.col("n") - 1) / F.lit(2.0)).alias("avg_rank"),
+        )
+    return out
 
 
-def attach_ranks(df: DataFrame, columns: dict[str, str], table: DataFrame, plan: OrderPlan,
+def attach_ranks(df: DataFrame, columns: dict[str, str], tables: dict[str, DataFrame], plan: OrderPlan,
                  fields: list[str]) -> DataFrame:
-    """Left-join rank table fields to rows: {column name in the table: value column of df}.
+    """Left-join rank table fields to rows: {name of the rank table: value column of df}.
 
     The new columns are `<field>_<position>`. A table of few distinct values is
     broadcast. A long one is shuffled; the values that hold more than 1/1000 of
@@ -156,7 +168,7 @@ def attach_ranks(df: DataFrame, columns: dict[str, str], table: DataFrame, plan:
     """
     out = df
     for i, (name, value) in enumerate(columns.items()):
-        mine = table.filter(F.col("column") == name).select(
+        mine = tables[name].select(
             F.col("value").alias(f"_v{i}"), *[F.col(f).alias(f"{f}_{i}") for f in fields], F.col("n").alias(f"_n{i}")
         )
         small = mine.drop(f"_n{i}")
@@ -189,9 +201,8 @@ def ordinal_ranks(df: DataFrame, value: str, tie: Column, plan: OrderPlan, name:
     ranked by many tasks; slices are ordered by their own running count.
     """
     rows = df.filter(F.col(value).isNotNull()).withColumn("_tie", tie)
-    hist = histogram(rows, {name: F.col(value)})
-    table = cumulative_histogram(hist, plan, ["column"]).withColumn("below", F.col("cum") - F.col("n"))
-    placed = attach_ranks(rows, {name: value}, table, plan, ["n", "below"])
+    tables = rank_tables(rows, {name: F.col(value)}, plan)
+    placed = attach_ranks(rows, {name: value}, tables, plan, ["n", "below"])
     slices = F.ceil(F.col("n_0") / F.lit(ROWS_PER_BUCKET))
     placed = placed.withColumn("_slice", F.floor(F.col("_tie") * slices)).drop("n_0")
     per_slice = placed.groupBy(value, "_slice").agg(F.count(F.lit(1)).alias("_rows"))
