@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
+from functools import wraps
 from importlib import import_module
 
-GROUPS = ["integrity", "privacy", "association", "profile"]
+from doppel.session import tune
+
+GROUPS = ["integrity", "privacy", "association", "profile", "generate", "synthesis"]
+
+
+def _tuned(fn):
+    @wraps(fn)
+    def run(spark, sf_dir):
+        return fn(tune(spark), sf_dir)
+    return run
+
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 for _group in GROUPS:
     _module = import_module(f"catalog.{_group}")
-    QUERIES.update(_module.QUERIES)
+    QUERIES.update({name: _tuned(fn) for name, fn in _module.QUERIES.items()})
     ORACLES.update(_module.ORACLES)

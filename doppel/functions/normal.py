@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Coefficients of algorithm AS241 (PPND16), highest power first.
@@ -51,13 +51,35 @@ def _ratio(table, x: Column) -> Column:
     return _horner(table[0], x) / _horner(table[1], x)
 
 
-def norm_ppf(p: Column) -> Column:
-    """Inverse normal CDF for p in (0, 1), accurate to about 1e-16."""
+def _tail_root(p: Column) -> Column:
     q = p - F.lit(0.5)
-    r = F.sqrt(-F.log(F.when(q <= 0, p).otherwise(F.lit(1.0) - p)))
+    return F.coalesce(F.sqrt(-F.log(F.when(q <= 0, p).otherwise(F.lit(1.0) - p))), F.lit(0.0))
+
+
+def norm_ppf(p: Column, root: Column | None = None) -> Column:
+    """Inverse normal CDF for p in (0, 1), accurate to about 1e-16.
+
+    `root` is the tail variable of p when an earlier projection has it already.
+    """
+    q = p - F.lit(0.5)
+    r = _tail_root(p) if root is None else root
     centre = q * _ratio(PPF_CENTRE, F.lit(0.180625) - q * q)
     tail = F.when(r <= 5.0, _ratio(PPF_MIDDLE, r - F.lit(1.6))).otherwise(_ratio(PPF_TAIL, r - F.lit(5.0)))
-    return F.when(F.abs(q) <= 0.425, centre).when(q < 0, -tail).otherwise(tail)
+    value = F.when(F.abs(q) <= 0.425, centre).when(q < 0, -tail).otherwise(tail)
+    return F.when(p.isNotNull(), value)
+
+
+def add_norm_ppf(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Add inverse normals {new column: probability column} in two projections.
+
+    The tail variable stands in a projection of its own: it is used dozens of
+    times, and the optimiser keeps such a column instead of copying it.
+    """
+    if not columns:
+        return df
+    roots = df.withColumns({f"_root_{z}": _tail_root(F.col(p)) for z, p in columns.items()})
+    done = roots.withColumns({z: norm_ppf(F.col(p), F.col(f"_root_{z}")) for z, p in columns.items()})
+    return done.drop(*[f"_root_{z}" for z in columns])
 
 
 def norm_cdf(x: Column) -> Column:

@@ -19,7 +19,8 @@ def uniform(seed: int, stream: str, *ids: Column) -> Column:
     """A double in (0, 1) fixed by seed, stream and the row's id columns."""
     key = F.concat_ws("|", F.lit(str(seed)), F.lit(stream), *[c.cast("string") for c in ids])
     bits = F.conv(F.substring(F.md5(key.cast("binary")), 1, 13), 16, 10).cast("bigint")
-    return (bits.cast("double") + F.lit(0.5)) / F.lit(_SPAN)
+    # Never null, which spares later arithmetic its null checks.
+    return F.coalesce((bits.cast("double") + F.lit(0.5)) / F.lit(_SPAN), F.lit(0.5))
 
 
 def uniform_int(u: Column, low: int, high: int) -> Column:
