@@ -127,8 +127,7 @@ def sampled_pair(spark, d):
     df = scored(spark, d).select(*LINE_IDS, *PAIR)
     model = copula.fit_copula(df, PAIR_TYPES, LINE_IDS, SEED)
     ids = table(spark, d, "orders").select((F.col("o_orderkey") + 1).alias("id"))
-    made = copula.sample_copula(model, ids, SEED).select(*[F.round(c, 3).alias(c) for c in PAIR])
-    return made
+    return copula.sample_copula(model, ids, SEED).select(*PAIR)
 
 
 def sampled_pair_sql() -> str:
@@ -139,7 +138,7 @@ def sampled_pair_sql() -> str:
     def value(c, t, x):
         i = f"least(floor({x} * 199.0::double), 198)::bigint"
         lerp = f"(q{t}[{i} + 1] + (q{t}[{i} + 2] - q{t}[{i} + 1]) * ({x} * 199.0::double - {i}))"
-        return f"round({rnd(f'greatest(q{t}[1], least(q{t}[200], {lerp}))', 4)}, 3) as {c}"
+        return f"{rnd(f'greatest(q{t}[1], least(q{t}[200], {lerp}))', 4)} as {c}"
     return f"""with z as ({scores_sql()}), r as (select corr(z_{a}, z_{b}) as r from z),
         e as (select {e[0]} as e0, {e[1]} as e1 from (select {u('copula:0', 'o_orderkey + 1')} as p0,
               {u('copula:1', 'o_orderkey + 1')} as p1 from orders)),

@@ -9,6 +9,8 @@ from pyspark.sql import types as T
 IDENTITY_TYPES = {"name", "email", "phone", "address", "text", "uuid", "id"}
 NULL_CATEGORY = "__NULL__"
 
+NUMBER_TEXT = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity|nan)\s*$"
+
 _EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
 
 
@@ -48,7 +50,8 @@ def numeric(df: DataFrame, name: str) -> Column:
         return epoch_seconds(df, name)
     c = col(name)
     if isinstance(kind, T.StringType):
-        c = F.expr(f"try_cast({quoted(name)} as double)")
+        # The pattern spares non-numbers the cast, which fails by way of an exception.
+        c = F.when(c.rlike(NUMBER_TEXT), F.expr(f"try_cast({quoted(name)} as double)"))
     else:
         c = c.cast("double")
     if isinstance(kind, (T.DoubleType, T.FloatType, T.StringType)):

@@ -101,13 +101,11 @@ def running_sums(
     with the first order column; None means the whole key is one bucket.
     """
     if bucket is None:
-        whole = Window.partitionBy(*keys)
-        ordered = whole.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return frame.select(
-            "*",
-            *[F.sum(c).over(ordered).alias(s) for s, c in sums.items()],
-            *[F.sum(c).over(whole).alias(f"{s}_total") for s, c in sums.items()],
-        )
+        # The totals join on the window's own partitioning, so they move no rows of the frame.
+        ordered = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        totals = frame.groupBy(*keys).agg(*[F.sum(c).alias(f"{s}_total") for s, c in sums.items()])
+        local = frame.select("*", *[F.sum(c).over(ordered).alias(s) for s, c in sums.items()])
+        return local.join(totals, keys).select(*frame.columns, *sums, *[f"{s}_total" for s in sums])
     split = frame.withColumn("_bucket", bucket)
     per_bucket = split.groupBy(*keys, "_bucket").agg(*[F.sum(c).alias(f"_s_{s}") for s, c in sums.items()])
     whole = Window.partitionBy(*keys)
@@ -213,44 +211,47 @@ def ordinal_ranks(df: DataFrame, value: str, tie: Column, plan: OrderPlan, name:
     return ranked.select(*df.columns, (F.col("below_0") + F.col("_offset") + F.col("_at")).alias("rank"))
 
 
-def _points(cum: DataFrame, keys: list[str], points: Column) -> DataFrame:
-    """Value at the floor and ceiling position of every grid point i of 0..points-1."""
-    wide = "decimal(38,0)"
-    n1 = F.greatest(F.col("cum_total") - 1, F.lit(1)).cast("decimal(19,0)")
-    m1 = (points - 1).cast("decimal(19,0)")
-    low = (F.col("cum") - F.col("n")).cast("decimal(19,0)")   # first position of the value
-    high = (F.col("cum") - 1).cast("decimal(19,0)")           # last position
-    one_row = F.col("cum_total") == 1
+def _points(cum: DataFrame, keys: list[str], points: int | Column) -> DataFrame:
+    """Value at the floor and ceiling position of every grid point i of 0..points-1.
+
+    Products of a position and a short literal grid fit in a long; a grid as
+    long as the data needs wider integers.
+    """
+    exact = "bigint" if isinstance(points, int) else "decimal(38,0)"
+    m1 = f"cast({points - 1} as bigint)" if isinstance(points, int) else "cast(_m1 as decimal(19,0))"
+    last = f"{points - 1}L" if isinstance(points, int) else "_m1"
+    part = "bigint" if isinstance(points, int) else "decimal(19,0)"
+    n1 = f"cast(greatest(cum_total - 1, 1) as {part})"
+    low, high = f"cast(cum - n as {part})", f"cast(cum - 1 as {part})"  # first and last position of the value
 
-    def ceil_div(a, b):
-        return F.call_function("div", (a.cast(wide) + b - 1).cast(wide), b)
+    def floor_div(x, y):
+        return f"cast(cast({x} as {exact}) div {y} as bigint)"
 
-    def floor_div(a, b):
-        return F.call_function("div", a.cast(wide), b)
+    def ceil_div(x, y):
+        return floor_div(f"({x} + {y} - 1)", y)
 
-    last = (points - 1).cast("bigint")
     # floor(i * n1 / m1) in [low, high]  and  ceil(i * n1 / m1) in [low, high]
-    floor_from = F.when(one_row, F.lit(0)).otherwise(ceil_div(low * m1, n1))
-    floor_to = F.when(one_row, last).otherwise(F.least(ceil_div((high + 1) * m1, n1) - 1, last))
-    ceil_from = F.when(one_row, F.lit(0)).when(low == 0, F.lit(0)).otherwise(floor_div((low - 1) * m1, n1) + 1)
-    ceil_to = F.when(one_row, last).otherwise(F.least(floor_div(high * m1, n1), last))
-    spans = cum.select(
+    one = "cum_total = 1"
+    floor_from = f"case when {one} then 0L else {ceil_div(f'{low} * {m1}', n1)} end"
+    floor_to = f"case when {one} then {last} else least({ceil_div(f'({high} + 1) * {m1}', n1)} - 1, {last}) end"
+    ceil_from = f"case when {one} or cum = n then 0L else {floor_div(f'({low} - 1) * {m1}', n1)} + 1 end"
+    ceil_to = f"case when {one} then {last} else least({floor_div(f'{high} * {m1}', n1)}, {last}) end"
+    source = cum if isinstance(points, int) else cum.withColumn("_m1", (points - 1).cast("bigint"))
+    return source.select(
         *keys, "value", "cum_total",
-        F.explode(F.array(
-            F.struct(F.lit(True).alias("left"), floor_from.cast("bigint").alias("a"), floor_to.cast("bigint").alias("b")),
-            F.struct(F.lit(False).alias("left"), ceil_from.cast("bigint").alias("a"), ceil_to.cast("bigint").alias("b")),
-        )).alias("_s"),
-    ).select(*keys, "value", "cum_total", "_s.left", "_s.a", "_s.b").filter("a <= b")
-    return spans
+        F.expr(f"inline(array(struct(true as left, {floor_from} as a, {floor_to} as b), "
+               f"struct(false as left, {ceil_from} as a, {ceil_to} as b)))"),
+    ).filter("a <= b")
 
 
-def grid_quantiles(cum: DataFrame, keys: list[str], points: Column, many: bool = False) -> DataFrame:
+def grid_quantiles(cum: DataFrame, keys: list[str], points: int | Column) -> DataFrame:
     """Linear-interpolated quantiles at i/(points-1): keys, `i`, `q`.
 
-    `cum` comes from cumulative_histogram. With `many` the grid grows with the
-    data; a value that covers a long run of grid points is then cut into chunks
-    that are spread over tasks before they are expanded.
+    `cum` comes from cumulative_histogram. A grid given as a column may be as
+    long as the data; a value that covers a long run of grid points is then cut
+    into chunks that are spread over tasks before they are expanded.
     """
+    many = not isinstance(points, int)
     spans = _points(cum, keys, points)
     expand = F.explode(F.sequence(F.col("a"), F.col("b"))).alias("i")
     if many:
@@ -269,13 +270,17 @@ def grid_quantiles(cum: DataFrame, keys: list[str], points: Column, many: bool =
         F.max(F.when(~F.col("left"), F.col("value"))).alias("_hi"),
         F.max("cum_total").alias("_n"),
     )
-    m1 = (points - 1).cast("decimal(19,0)")
-    product = F.col("i").cast("decimal(19,0)") * (F.col("_n") - 1).cast("decimal(19,0)")
+    if many:
+        m1 = (points - 1).cast("decimal(19,0)")
+        product = F.col("i").cast("decimal(19,0)") * (F.col("_n") - 1).cast("decimal(19,0)")
+    else:
+        m1 = F.lit(points - 1).cast("bigint")
+        product = F.col("i") * (F.col("_n") - 1)
     fraction = (product % m1).cast("double") / m1.cast("double")
     return ends.select(*keys, "i", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * fraction).alias("q"))
 
 
 def medians(cum: DataFrame, keys: list[str]) -> DataFrame:
     """Exact median per key: keys, `median`."""
-    mid = grid_quantiles(cum, keys, F.lit(3)).filter("i = 1")
+    mid = grid_quantiles(cum, keys, 3).filter("i = 1")
     return mid.select(*keys, F.col("q").alias("median"))

@@ -36,6 +36,8 @@ TOP_CATEGORIES = 50
 # Strings longer than this are counted by their SHA-256, so long texts are not shuffled.
 LONG_TEXT = 64
 
+# Text that cannot be a time is not parsed: a failed parse costs an exception.
+_TIME_TEXT = r"^\s*[+-]?\d{1,4}([./-]\d|$)"
 _DATE_FORMATS = ["MM/dd/yyyy", "dd/MM/yyyy", "dd.MM.yyyy", "yyyy/MM/dd", "dd-MM-yyyy"]
 
 SCHEMA = T.StructType([
@@ -78,7 +80,7 @@ def parsed_time(name: str) -> Column:
     q = quoted(name)
     tries = [f"try_cast({q} as timestamp_ntz)"]
     tries += [f"cast(try_to_timestamp({q}, '{f}') as timestamp_ntz)" for f in _DATE_FORMATS]
-    return F.expr(f"case when length({q}) <= 40 then coalesce({', '.join(tries)}) end")
+    return F.when((F.length(col(name)) <= 40) & col(name).rlike(_TIME_TEXT), F.expr(f"coalesce({', '.join(tries)})"))
 
 
 def _label(df: DataFrame, name: str) -> Column:
