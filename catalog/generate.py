@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from catalog.common import SEED, cdf, pick, ppf, rnd, s, table, u
 from doppel.functions import domains, identity, locales, pools
 from doppel.functions.money import format_money
-from doppel.functions.normal import add_norm_ppf, interp_grid, norm_cdf
+from doppel.functions.normal import add_norm_cdf, add_norm_ppf, interp_grid
 from doppel.functions.rng import cumulative, uniform, uniform_int
 from doppel.operators import generate
 
@@ -237,7 +237,8 @@ def normals(spark, d):
     """Probabilities of orders through the inverse normal and back."""
     o = table(spark, d, "orders").select("o_orderkey", uniform(SEED, "normal", F.col("o_orderkey")).alias("p"))
     z = add_norm_ppf(o, {"z": "p"})
-    return z.select("o_orderkey", F.round("z", 9).alias("z"), F.round(norm_cdf(F.col("z") * 1.5), 9).alias("wide"))
+    wide = add_norm_cdf(z.withColumn("w", F.col("z") * 1.5), {"wide": "w"})
+    return wide.select("o_orderkey", F.round("z", 9).alias("z"), F.round("wide", 9).alias("wide"))
 
 
 INTERP_TABLE = [0.0, 1.0, 4.0, 9.0, 16.0, 25.0, 36.0]

@@ -1,8 +1,7 @@
 """Normal distribution and interpolation as Column arithmetic.
 
 Spark has no erf and no inverse normal. Both are written as rational
-approximations so they stay inside whole-stage code generation. Compute the
-argument in an earlier projection: it appears many times in these expressions.
+approximations so they stay inside generated code.
 """
 
 from __future__ import annotations
@@ -40,59 +39,55 @@ CDF_TAIL = (
 )
 
 
-def _horner(coefficients: Sequence[float], x: Column) -> Column:
-    out = F.lit(coefficients[0])
+def _horner(coefficients: Sequence[float], x: str) -> str:
+    out = f"{coefficients[0]!r}D"
     for c in coefficients[1:]:
-        out = out * x + F.lit(c)
+        out = f"({out} * {x} + {c!r}D)"
     return out
 
 
-def _ratio(table, x: Column) -> Column:
-    return _horner(table[0], x) / _horner(table[1], x)
-
-
-def _tail_root(p: Column) -> Column:
-    q = p - F.lit(0.5)
-    return F.coalesce(F.sqrt(-F.log(F.when(q <= 0, p).otherwise(F.lit(1.0) - p))), F.lit(0.0))
-
-
-def norm_ppf(p: Column, root: Column | None = None) -> Column:
-    """Inverse normal CDF for p in (0, 1), accurate to about 1e-16.
-
-    `root` is the tail variable of p when an earlier projection has it already.
-    """
-    q = p - F.lit(0.5)
-    r = _tail_root(p) if root is None else root
-    centre = q * _ratio(PPF_CENTRE, F.lit(0.180625) - q * q)
-    tail = F.when(r <= 5.0, _ratio(PPF_MIDDLE, r - F.lit(1.6))).otherwise(_ratio(PPF_TAIL, r - F.lit(5.0)))
-    value = F.when(F.abs(q) <= 0.425, centre).when(q < 0, -tail).otherwise(tail)
-    return F.when(p.isNotNull(), value)
+def _ratio(table, x: str) -> str:
+    return f"({_horner(table[0], x)} / {_horner(table[1], x)})"
 
 
 def add_norm_ppf(df: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """Add inverse normals {new column: probability column} in two projections.
+    """Add the inverse normal, accurate to about 1e-16: {new column: column of probabilities in (0, 1)}.
 
-    The tail variable stands in a projection of its own: it is used dozens of
-    times, and the optimiser keeps such a column instead of copying it.
+    The variable of the polynomials is used dozens of times, so it gets
+    projections of its own; the optimiser keeps such a column instead of
+    copying its expression. Column names must be plain.
     """
     if not columns:
         return df
-    roots = df.withColumns({f"_root_{z}": _tail_root(F.col(p)) for z, p in columns.items()})
-    done = roots.withColumns({z: norm_ppf(F.col(p), F.col(f"_root_{z}")) for z, p in columns.items()})
-    return done.drop(*[f"_root_{z}" for z in columns])
-
-
-def norm_cdf(x: Column) -> Column:
-    """Normal CDF, absolute error below 1e-14."""
-    a = F.abs(x)
-    density = F.exp(-a * a / F.lit(2.0))
-    far = a + F.lit(0.65)
-    for k in (4.0, 3.0, 2.0, 1.0):
-        far = a + F.lit(k) / far
-    upper = F.when(a < 7.07106781186547, density * _ratio(CDF_TAIL, a)).otherwise(
-        density / far / F.lit(2.506628274631)
-    )
-    return F.when(x > 0, F.lit(1.0) - upper).otherwise(upper)
+    roots, places, values = {}, {}, {}
+    for z, p in columns.items():
+        q, r, w = f"({p} - 0.5D)", f"_r_{z}", f"_w_{z}"
+        roots[r] = F.expr(f"coalesce(sqrt(-ln(if({q} <= 0D, {p}, 1.0D - {p}))), 0D)")
+        places[w] = F.expr(f"case when abs({q}) <= 0.425D then 0.180625D - {q} * {q} "
+                           f"when {r} <= 5.0D then {r} - 1.6D else {r} - 5.0D end")
+        tail = f"if({r} <= 5.0D, {_ratio(PPF_MIDDLE, w)}, {_ratio(PPF_TAIL, w)})"
+        values[z] = F.expr(f"case when {p} is null then null when abs({q}) <= 0.425D then {q} * {_ratio(PPF_CENTRE, w)} "
+                           f"else {tail} * if({q} < 0D, -1D, 1D) end")
+    done = df.withColumns(roots).withColumns(places).withColumns(values)
+    return done.drop(*roots, *places)
+
+
+def add_norm_cdf(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Add the normal CDF, absolute error below 1e-14: {new column: column of numbers}."""
+    if not columns:
+        return df
+    parts, values = {}, {}
+    for u, x in columns.items():
+        a, d = f"_a_{u}", f"_d_{u}"
+        parts[a] = F.expr(f"abs({x})")
+        parts[d] = F.expr(f"exp(-abs({x}) * abs({x}) / 2.0D)")
+        far = f"({a} + 0.65D)"
+        for k in (4.0, 3.0, 2.0, 1.0):
+            far = f"({a} + {k}D / {far})"
+        upper = f"if({a} < 7.07106781186547D, {d} * {_ratio(CDF_TAIL, a)}, {d} / {far} / 2.506628274631D)"
+        values[u] = F.expr(f"if({x} > 0D, 1.0D - {upper}, {upper})")
+    done = df.withColumns(parts).withColumns(values)
+    return done.drop(*parts)
 
 
 def interp_grid(u: Column, table: Column, points: int) -> Column:
