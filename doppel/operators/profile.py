@@ -60,7 +60,7 @@ SCHEMA = T.StructType([
 ])
 
 
-def _is_time(kind: T.DataType) -> bool:
+def is_time(kind: T.DataType) -> bool:
     return isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType))
 
 
@@ -115,7 +115,7 @@ def _measures(df: DataFrame, name: str) -> dict[str, Column]:
         t = parsed_time(name)
         out["times"], out["tmin"], out["tmax"] = F.count(t), F.min(t), F.max(t)
         out["lmean"], out["lmin"], out["lmax"] = F.avg(n), F.min(n), F.max(n)
-    elif _is_time(kind):
+    elif is_time(kind):
         out["tmin"], out["tmax"] = (F.min(v.cast("timestamp_ntz")), F.max(v.cast("timestamp_ntz")))
     elif isinstance(kind, T.NumericType):
         d = v.cast("double")
@@ -159,7 +159,7 @@ def _rule(name: str, kind: T.DataType, facts: dict) -> str:
         return "uuid"
     if share["email"] > PATTERN_SHARE:
         return "email"
-    if _is_time(kind) or share["times"] > PATTERN_SHARE:
+    if is_time(kind) or share["times"] > PATTERN_SHARE:
         return "datetime"
     if lower not in NOT_PHONE and share["phone"] > PATTERN_SHARE:
         return "phone"
