@@ -7,7 +7,7 @@ from importlib import import_module
 
 from doppel.session import tune
 
-GROUPS = ["integrity", "privacy", "association", "profile", "generate", "synthesis", "fidelity", "memorisation"]
+GROUPS = ["integrity", "privacy", "association", "profile", "generate", "synthesis", "fidelity", "memorisation", "relational"]
 
 
 def _tuned(fn):

@@ -30,7 +30,7 @@ def uniform_int(u: Column, low: int, high: int) -> Column:
 
 def pick(values: Sequence, u: Column) -> Column:
     """Equally likely element of a short literal list."""
-    return F.element_at(F.array(*[F.lit(v) for v in values]), F.floor(u * F.lit(float(len(values)))).cast("int") + 1)
+    return F.element_at(array_literal(values), F.floor(u * F.lit(float(len(values)))).cast("int") + 1)
 
 
 def cumulative(weights: Sequence[float]) -> list[float]:
@@ -59,7 +59,7 @@ def interval_index(ends: Column, size: int, u: Column) -> Column:
         inside = at + hop <= F.lit(size)
         return F.when(inside & (F.get(ends, at + hop - 1) <= u), at + hop).otherwise(at)
 
-    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), advance)
+    return F.aggregate(F.expr(f"array({', '.join(map(str, steps))})"), F.lit(0), advance)
 
 
 def weighted_pick(values: Sequence, weights: Sequence[float], u: Column) -> Column:
@@ -67,6 +67,15 @@ def weighted_pick(values: Sequence, weights: Sequence[float], u: Column) -> Colu
     return interval_pick(values, cumulative(weights), u)
 
 
+def array_literal(values: Sequence) -> Column:
+    """A literal array of numbers or texts, built as one expression."""
+    def text(v):
+        if isinstance(v, str):
+            return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        return f"{v!r}D" if isinstance(v, float) else f"{v}L" if isinstance(v, int) else f"'{v}'"
+    return F.expr(f"array({', '.join(text(v) for v in values)})")
+
+
 def interval_pick(values: Sequence, ends: Sequence[float], u: Column) -> Column:
     """Element whose interval [previous end, end) holds u."""
     if not values:
@@ -76,5 +85,4 @@ def interval_pick(values: Sequence, ends: Sequence[float], u: Column) -> Column:
         for v, end in reversed(list(zip(values[:-1], ends[:-1]))):
             out = F.when(u < F.lit(end), F.lit(v)).otherwise(out)
         return out
-    inner = F.array(*[F.lit(e) for e in ends[:-1]])
-    return F.get(F.array(*[F.lit(v) for v in values]), interval_index(inner, len(values) - 1, u))
+    return F.get(array_literal(values), interval_index(array_literal(ends[:-1]), len(values) - 1, u))

@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from doppel.functions.rng import interval_index
+from doppel.functions.rng import array_literal, interval_index
 
 ROWS_PER_BUCKET = 2_000_000
 MAX_BUCKETS = 20_000
@@ -70,7 +70,7 @@ def bucket_of(column: Column, value: Column, bounds: dict[str, list[float]]) ->
     out = F.lit(0)
     for name, ends in bounds.items():
         if ends:
-            index = interval_index(F.array(*[F.lit(float(e)) for e in ends]), len(ends), value)
+            index = interval_index(array_literal([float(e) for e in ends]), len(ends), value)
             out = F.when(column == name, index).otherwise(out)
     return out
 
