@@ -7,7 +7,8 @@ from importlib import import_module
 
 from doppel.session import tune
 
-GROUPS = ["integrity", "privacy", "association", "profile", "generate", "synthesis", "fidelity", "memorisation", "relational"]
+GROUPS = ["integrity", "privacy", "association", "profile", "generate", "synthesis", "fidelity", "memorisation", "relational",
+          "sources", "documents", "events", "reports"]
 
 
 def _tuned(fn):
