@@ -271,7 +271,7 @@ def grid_quantiles(cum: DataFrame, keys: list[str], points: int | Column) -> Dat
         F.max("cum_total").alias("_n"),
     )
     if many:
-        m1 = (points - 1).cast("decimal(19,0)")
+        m1 = F.greatest(points - 1, F.lit(1)).cast("decimal(19,0)")
         product = F.col("i").cast("decimal(19,0)") * (F.col("_n") - 1).cast("decimal(19,0)")
     else:
         m1 = F.lit(points - 1).cast("bigint")
