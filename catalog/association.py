@@ -6,19 +6,19 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from catalog.common import LINE_COLUMNS, LINE_LABELS, LINE_NUMERIC, LINE_TYPES, epoch, halves, rnd, s, table
+from catalog.common import LINE_COLUMNS, LINE_LABELS, LINE_NUMERIC, LINE_TYPES, epoch, halves, rnd, s, table, wide
 from doppel.operators import association
 from doppel.operators.profile import modelling_roles
 
 
 def lines(spark, d):
-    return table(spark, d, "lineitem").select(*LINE_COLUMNS)
+    return wide(spark, d, "lineitem").select(*LINE_COLUMNS)
 
 
 def priced(spark, d):
     """lineitem with amounts that follow from its columns, so that strong pairs exist."""
     net = F.col("l_extendedprice") * (1.0 - F.col("l_discount"))
-    return table(spark, d, "lineitem").select(
+    return wide(spark, d, "lineitem").select(
         "l_extendedprice", net.alias("net"), (net * F.col("l_tax")).alias("tax_paid"), "l_quantity",
         F.when(F.col("l_quantity") < 15, "small").when(F.col("l_quantity") < 35, "medium").otherwise("large")
         .alias("size_band"),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doppel.functions import normal
+from doppel.session import spread
 
 SEED = 42
 
@@ -14,9 +15,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def wide(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table for work that is heavy per row: spread over the cores when it lies in few row groups."""
+    return spread(table(spark, sf_dir, name))
+
+
 def halves(spark: SparkSession, sf_dir: str, *columns: str) -> tuple[DataFrame, DataFrame]:
     """Real = lineitem rows of even orders, synthetic = those of odd orders."""
-    items = table(spark, sf_dir, "lineitem")
+    items = wide(spark, sf_dir, "lineitem")
     even = F.col("l_orderkey") % 2 == 0
     columns = columns or tuple(items.columns)
     return items.filter(even).select(*columns), items.filter(~even).select(*columns)

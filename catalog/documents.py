@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.common import SEED, pick, s, table, u
+from catalog.common import SEED, pick, s, u, wide
 from catalog.generate import LOCALE_SQL, LOCATED_SQL, address_sql, int_sql, located
 from catalog.integrity import LEDGER_SQL, stated_ledger
 from doppel.functions import pools
@@ -98,7 +98,7 @@ def broken(spark, d):
 
 
 def accounts(spark, d):
-    return table(spark, d, "customer").select((F.col("c_custkey") + 1).alias("id"))
+    return wide(spark, d, "customer").select((F.col("c_custkey") + 1).alias("id"))
 
 
 def statements(spark, d):
@@ -125,7 +125,7 @@ def summary(spark, d):
 def noted(spark, d):
     """Documents, some with a currency word or a few short lines appended."""
     tail = F.element_at(F.array(*[F.lit(x) for x in TAILS]), (F.col("doc_id") % len(TAILS) + 1).cast("int"))
-    return table(spark, d, "documents").select("doc_id", F.concat("text", tail).alias("text"))
+    return wide(spark, d, "documents").select("doc_id", F.concat("text", tail).alias("text"))
 
 
 TAILS = ["", "\nBlue kettle 2 pcs\nTotal 20", "\nPrice in GBP\nGreen lamp", "\n  Rs. 500 \n", "\nCanada post\nbill to: x\nRed chair"]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.common import SEED, cdf, pick, ppf, rnd, s, table, u
+from catalog.common import SEED, cdf, pick, ppf, rnd, s, table, u, wide
 from doppel.functions import domains, identity, locales, pools
 from doppel.functions.money import format_money
 from doppel.functions.normal import add_norm_cdf, add_norm_ppf, interp_grid
@@ -13,7 +13,7 @@ from doppel.operators import generate
 
 
 def ids(spark, d):
-    return table(spark, d, "customer").select((F.col("c_custkey") + 1).alias("id"))
+    return wide(spark, d, "customer").select((F.col("c_custkey") + 1).alias("id"))
 
 
 IDS = "(select c_custkey + 1 as id from customer)"
@@ -175,7 +175,7 @@ OUTLIER_SCHEMA = [
 
 
 def with_outliers(spark, d):
-    lines = table(spark, d, "lineitem").select(*LINE_IDS, "l_quantity", "l_extendedprice", "l_discount")
+    lines = wide(spark, d, "lineitem").select(*LINE_IDS, "l_quantity", "l_extendedprice", "l_discount")
     out = generate.inject_outliers(lines, LINE_IDS, OUTLIER_SCHEMA, 0.1, SEED)
     return out.withColumn("l_linenumber", F.col("l_linenumber").cast("bigint"))
 
@@ -196,7 +196,7 @@ def located(spark, d):
     names = F.array(*[F.lit(r[0]) for r in locales.LOCALES])
     code = F.when(F.col("o_orderkey") % 9 == 0, F.lit("xx_XX")).otherwise(
         F.element_at(names, (F.col("o_custkey") % len(locales.LOCALES) + 1).cast("int")))
-    return table(spark, d, "orders").select("o_orderkey", "o_totalprice", code.alias("locale"))
+    return wide(spark, d, "orders").select("o_orderkey", "o_totalprice", code.alias("locale"))
 
 
 LOCATED_SQL = (f"(select o_orderkey, o_totalprice, case when o_orderkey % 9 = 0 then 'xx_XX' else "

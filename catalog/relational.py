@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.common import SEED, pick, rnd, s, table, u
+from catalog.common import SEED, pick, rnd, s, table, u, wide
 from catalog.generate import int_sql, name_sql, phone_sql
 from doppel.functions import pools
 from doppel.operators import integrity, relational
@@ -135,7 +135,7 @@ def model(spark, d):
 
 
 def ids(spark, d):
-    return table(spark, d, "customer").select((F.col("c_custkey") + 1).alias("id"))
+    return wide(spark, d, "customer").select((F.col("c_custkey") + 1).alias("id"))
 
 
 def made_customers(spark, d):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.association import PRICED_SQL, priced
-from catalog.common import LINE_TYPES, SEED, cdf, epoch, ppf, rnd, s, table, u
+from catalog.common import LINE_TYPES, SEED, cdf, epoch, ppf, rnd, s, table, u, wide
 from catalog.generate import LINE_IDS
 from doppel.functions import domains
 from doppel.operators import copula, marginals
@@ -25,7 +25,7 @@ def quantiles_sql(src: str, columns: dict[str, str], digits: int = 6) -> str:
 
 
 def numeric_marginal(spark, d):
-    out = marginals.numeric_marginals(table(spark, d, "lineitem"), ["l_extendedprice", "l_quantity", "l_discount"], buckets=16)
+    out = marginals.numeric_marginals(wide(spark, d, "lineitem"), ["l_extendedprice", "l_quantity", "l_discount"], buckets=16)
     return out.withColumn("q", F.round("q", 6))
 
 
@@ -66,7 +66,7 @@ SCORED = ["l_extendedprice", "net", "tax_paid", "l_quantity"]
 
 def scored(spark, d):
     """Priced line items with their key columns."""
-    keys = table(spark, d, "lineitem")
+    keys = wide(spark, d, "lineitem")
     net = F.col("l_extendedprice") * (1.0 - F.col("l_discount"))
     band = F.when(F.col("l_quantity") < 15, "small").when(F.col("l_quantity") < 35, "medium").otherwise("large")
     return keys.select(*LINE_IDS, "l_extendedprice", net.alias("net"), (net * F.col("l_tax")).alias("tax_paid"),
@@ -126,7 +126,7 @@ def sampled_pair(spark, d):
     """One synthetic pair per order, learned from price and net price."""
     df = scored(spark, d).select(*LINE_IDS, *PAIR)
     model = copula.fit_copula(df, PAIR_TYPES, LINE_IDS, SEED)
-    ids = table(spark, d, "orders").select((F.col("o_orderkey") + 1).alias("id"))
+    ids = wide(spark, d, "orders").select((F.col("o_orderkey") + 1).alias("id"))
     return copula.sample_copula(model, ids, SEED).select(*PAIR)
 
 
@@ -150,10 +150,10 @@ def sampled_pair_sql() -> str:
 
 def sampled(spark, d):
     """A synthetic lineitem with as many rows as there are orders, all columns learned."""
-    items = table(spark, d, "lineitem")
+    items = wide(spark, d, "lineitem")
     types = {**LINE_TYPES, **{c: "id" for c in LINE_IDS[:3]}}
     model = copula.fit_copula(items, types, LINE_IDS, SEED)
-    ids = table(spark, d, "orders").select((F.col("o_orderkey") + 1).alias("id"))
+    ids = wide(spark, d, "orders").select((F.col("o_orderkey") + 1).alias("id"))
     out = copula.sample_copula(model, ids, SEED)
     return out.withColumn("l_shipdate", F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss"))
 

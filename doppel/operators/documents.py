@@ -5,8 +5,11 @@ from __future__ import annotations
 from datetime import date, timedelta
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from doppel.functions import identity, locales, pools
 from doppel.functions.masking import WHITESPACE
@@ -142,18 +145,45 @@ def _salary_days(start: date, end: date) -> list[date]:
     return days
 
 
+def _balance_fold(opening_balance: float, min_balance: float, allow_overdraft: bool, salary_amount: float):
+    """A vectorised fold over transactions in order, in cents: credit, debit, balance and whether the row stays."""
+    start, floor, salary_cents = (round(x * 100) for x in (opening_balance, min_balance, salary_amount))
+
+    @pandas_udf("credit array<bigint>, debit array<bigint>, balance array<bigint>, kept array<boolean>")
+    def fold(salary: pd.Series, side: pd.Series, amount: pd.Series) -> pd.DataFrame:
+        paid, chance, size = (np.stack(x.to_list()) for x in (salary, side, amount))
+        credit_side = paid | (chance < CREDIT_SHARE)
+        credits = np.where(paid, salary_cents, np.rint((CREDIT_LOW + size * (CREDIT_HIGH - CREDIT_LOW)) * 100)).astype(np.int64)
+        credits = np.where(credit_side, credits, 0)
+        debits, balances = np.zeros_like(credits), np.zeros_like(credits)
+        kept = np.ones(credits.shape, dtype=bool)
+        balance = np.full(len(credits), start, dtype=np.int64)
+        for j in range(credits.shape[1]):
+            room = np.maximum(balance / 100 + (OVERDRAFT_ROOM if allow_overdraft else 0.0), DEBIT_FLOOR)
+            wish = np.rint((DEBIT_LOW + size[:, j] * (np.minimum(room, DEBIT_HIGH) - DEBIT_LOW)) * 100).astype(np.int64)
+            if not allow_overdraft:
+                wish = np.where(balance - wish < floor, np.maximum(balance - floor, 0), wish)
+                kept[:, j] = credit_side[:, j] | (wish >= LEAST_DEBIT * 100)
+            debits[:, j] = np.where(credit_side[:, j] | ~kept[:, j], 0, wish)
+            balance = balance + credits[:, j] - debits[:, j]
+            balances[:, j] = balance
+        return pd.DataFrame({"credit": list(credits), "debit": list(debits), "balance": list(balances), "kept": list(kept)})
+
+    return fold
+
+
 def generate_statements(ids: DataFrame, seed: int = 42, locale: str = "en_US", n_transactions: int = 30,
                         opening_balance: float = 5000.0, days: int = 90, min_balance: float = 0.0,
                         allow_overdraft: bool = False, salary_on_1st: bool = False, salary_amount: float = 3500.0,
                         as_of: date = DEFAULT_AS_OF) -> DataFrame:
     """One bank statement per `id`, its transactions in date order with a running balance.
 
-    A debit depends on the balance before it, so each account is folded over its
-    own transactions inside its row; accounts do not depend on one another.
+    A debit depends on the balance before it, so the accounts of an Arrow batch
+    step through their transactions together; accounts do not depend on one
+    another, and no shuffle is needed.
     """
     rid = F.col("id")
     start = as_of - timedelta(days=days)
-    # All draws of an account are projected first; the fold only does arithmetic.
     drawn = F.transform(F.sequence(F.lit(1).cast("bigint"), F.lit(n_transactions).cast("bigint")), lambda i: F.struct(
         F.date_add(F.lit(start), uniform_int(uniform(seed, "txn:day", rid, i), 0, days).cast("int")).alias("date"),
         i.alias("i"), F.lit(False).alias("salary"),
@@ -166,34 +196,19 @@ def generate_statements(ids: DataFrame, seed: int = 42, locale: str = "en_US", n
                                   *[F.lit(0.5).alias(c) for c in ("side", "amount", "text", "source")]) for d in payday])
         moves = F.concat(drawn, paid)
     base = ids.select(rid, F.array_sort(moves).alias("_moves"))
-    zero = F.lit(0).cast(MONEY)
-    kind = "struct<date:date,i:bigint,salary:boolean,text:double,source:double,credit:decimal(18,2),debit:decimal(18,2),balance:decimal(18,2)>"
-
-    def step(state: Column, x: Column) -> Column:
-        balance = state["balance"]
-        floor = F.lit(min_balance)
-        known = balance.cast("double")
-        is_credit = x["salary"] | (x["side"] < CREDIT_SHARE)
-        credit = F.when(x["salary"], F.lit(salary_amount).cast(MONEY)).when(
-            x["side"] < CREDIT_SHARE, money(F.lit(CREDIT_LOW) + x["amount"] * F.lit(CREDIT_HIGH - CREDIT_LOW))).otherwise(zero)
-        room = F.greatest(known + OVERDRAFT_ROOM if allow_overdraft else known, F.lit(DEBIT_FLOOR))
-        wish = F.lit(DEBIT_LOW) + x["amount"] * (F.least(room, F.lit(DEBIT_HIGH)) - F.lit(DEBIT_LOW))
-        wish = money(wish)
-        if not allow_overdraft:
-            wish = F.when((balance - wish) < floor.cast(MONEY), F.greatest(zero, (balance - floor.cast(MONEY)).cast(MONEY))).otherwise(wish)
-        debit = F.when(is_credit, zero).otherwise(wish).cast(MONEY)
-        after = (balance + credit - debit).cast(MONEY)
-        row = F.struct(x["date"].alias("date"), x["i"].alias("i"), x["salary"].alias("salary"), x["text"].alias("text"),
-                       x["source"].alias("source"), credit.cast(MONEY).alias("credit"), debit.alias("debit"), after.alias("balance"))
-        dropped = ~is_credit & (debit < F.lit(LEAST_DEBIT).cast(MONEY)) if not allow_overdraft else F.lit(False)
-        moved = F.struct(after.alias("balance"), F.concat(state["rows"], F.array(row.cast(kind))).alias("rows"))
-        return F.when(dropped, state).otherwise(moved)
-
     opening = F.lit(opening_balance).cast(MONEY)
-    first = F.struct(opening.alias("balance"), F.array().cast(f"array<{kind}>").alias("rows"))
-    folded = base.withColumn("_state", F.aggregate("_moves", first, step))
+    fold = _balance_fold(opening_balance, min_balance, allow_overdraft, salary_amount)
+    folded = base.withColumn("_f", fold("_moves.salary", "_moves.side", "_moves.amount"))
+
+    def cents(x: Column) -> Column:
+        return (x.cast("decimal(20,0)") / 100).cast(MONEY)
+
+    zipped = F.filter(F.arrays_zip("_moves", "_f.credit", "_f.debit", "_f.balance", "_f.kept"), lambda x: x["kept"])
+    folded = folded.withColumn("_rows", F.transform(zipped, lambda x: F.struct(
+        *[x["_moves"][c].alias(c) for c in ("date", "salary", "text", "source")],
+        *[cents(x[c]).alias(c) for c in ("credit", "debit", "balance")])))
     config = locales.config(locale)
-    text = F.transform("_state.rows", lambda x, at: F.struct(
+    text = F.transform("_rows", lambda x, at: F.struct(
         (at + 1).alias("seq"), F.date_format(x["date"], config["date_format"]).alias("date"),
         F.when(x["salary"], F.lit(SALARY_TEXT)).when(x["credit"] > 0, pick(pools.CREDIT_TEXTS, x["text"]))
         .otherwise(pick(pools.DESCRIPTIONS, x["text"])).alias("description"),
@@ -207,7 +222,8 @@ def generate_statements(ids: DataFrame, seed: int = 42, locale: str = "en_US", n
         rid.alias("account_id"), identity.person_name(seed, "holder", rid, locale).alias("account_holder"),
         F.concat(F.lit("****"), uniform_int(uniform(seed, "account", rid), 1000, 9999).cast("string")).alias("account_number"),
         identity.bank(seed, "account", rid, locale).alias("bank_name"), F.lit(period).alias("statement_period"),
-        opening.alias("opening_balance"), F.col("_state.balance").alias("closing_balance"), "transactions",
+        opening.alias("opening_balance"),
+        F.coalesce(F.try_element_at("transactions", F.lit(-1))["balance"], opening).alias("closing_balance"), "transactions",
         F.lit(config["currency_symbol"]).alias("currency_symbol"), F.lit(config["currency_code"]).alias("currency_code"),
         _total(F.col("transactions"), "credit").alias("total_credits"), _total(F.col("transactions"), "debit").alias("total_debits"),
         F.lit(locale).alias("locale"),

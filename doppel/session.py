@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Generated methods past 8000 bytes are never compiled by the JVM. With this limit Spark plans
 # such projections with split methods instead, several times faster for wide generators.
@@ -31,3 +31,14 @@ def local(cores: int | str = "*", memory: str = "12g", partitions: int = 8) -> S
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return tune(spark)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The frame in at least as many partitions as there are cores.
+
+    A table that lies in a few row groups would keep most cores idle in work that
+    is heavy per row. A table in many files already has more partitions than
+    cores and is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
