@@ -152,7 +152,7 @@ def labelled(spark, d):
 
 def mimicked(spark, d):
     inv = documents.mimic_invoices(noted(spark, d), "doc_id", "text", SEED)
-    items = inv.select("invoice_id", "locale", F.col("total").cast("double").alias("total"), F.explode("items").alias("x"))
+    items = inv.select("invoice_id", "locale", F.col("total").cast("double").alias("total"), F.explode_outer("items").alias("x"))
     return items.select("invoice_id", "locale", "total", F.col("x.item_no").cast("bigint").alias("item_no"), "x.product", "x.quantity")
 
 

@@ -132,8 +132,12 @@ def invoice_summary(invoices: DataFrame) -> DataFrame:
 
 
 def invoice_lines(invoices: DataFrame) -> DataFrame:
-    """One row per item."""
-    return invoices.select("invoice_id", F.explode("items").alias("x")).select("invoice_id", "x.*")
+    """One row per item.
+
+    The outer form keeps the optimiser from adding a size filter on the array,
+    which would build every document twice.
+    """
+    return invoices.select("invoice_id", F.explode_outer("items").alias("x")).filter("x is not null").select("invoice_id", "x.*")
 
 
 def _salary_days(start: date, end: date) -> list[date]:
@@ -236,7 +240,8 @@ def _strftime(day: date, pattern: str) -> str:
 
 def statement_lines(statements: DataFrame) -> DataFrame:
     """One row per transaction, as the balance check takes it."""
-    return statements.select(F.col("account_id").alias("account"), F.explode("transactions").alias("t")).select("account", "t.*")
+    rows = statements.select(F.col("account_id").alias("account"), F.explode_outer("transactions").alias("t"))
+    return rows.filter("t is not null").select("account", "t.*")
 
 
 def statement_summary(ledger: DataFrame, account: str, seq: str, opening: float) -> DataFrame:

@@ -57,7 +57,7 @@ def pooled_cdf(real: DataFrame, synth: DataFrame, names: list[str], buckets: int
 
 def _pooled(both: DataFrame, names: list[str], plan: OrderPlan) -> DataFrame:
     bucket = bucket_of(F.col("column"), F.col("value"), plan.bounds) if any(plan.bounds.values()) else None
-    return running_sums(_counts(both, names), ["column"], ["value"], {"cr": "nr", "cs": "ns"}, bucket)
+    return running_sums(_counts(both, names), ["column"], ["value"], {"cr": "nr", "cs": "ns"}, bucket, few_keys=True)
 
 
 def _one_side(cdf: DataFrame, side: str) -> DataFrame:

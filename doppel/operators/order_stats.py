@@ -93,18 +93,22 @@ def histogram(df: DataFrame, columns: dict[str, Column], keep: dict[str, Column]
 
 
 def running_sums(
-    frame: DataFrame, keys: list[str], order: list[str], sums: dict[str, str], bucket: Column | None
+    frame: DataFrame, keys: list[str], order: list[str], sums: dict[str, str], bucket: Column | None,
+    few_keys: bool = False,
 ) -> DataFrame:
     """Add an inclusive running sum and the key's total for each entry {name: input column}.
 
     `name` holds the running sum and `name_total` the total. `bucket` must grow
     with the first order column; None means the whole key is one bucket.
+    `few_keys` says that the keys are columns of a table or the like, whose
+    totals are few enough to broadcast.
     """
     if bucket is None:
         # The totals join on the window's own partitioning, so they move no rows of the frame.
         ordered = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         totals = frame.groupBy(*keys).agg(*[F.sum(c).alias(f"{s}_total") for s, c in sums.items()])
         local = frame.select("*", *[F.sum(c).over(ordered).alias(s) for s, c in sums.items()])
+        totals = F.broadcast(totals) if few_keys else totals
         return local.join(totals, keys).select(*frame.columns, *sums, *[f"{s}_total" for s in sums])
     split = frame.withColumn("_bucket", bucket)
     per_bucket = split.groupBy(*keys, "_bucket").agg(*[F.sum(c).alias(f"_s_{s}") for s, c in sums.items()])
@@ -134,7 +138,7 @@ def cumulative_histogram(
     bucket = None
     if any(plan.bounds.values()):
         bucket = bucket_of(F.col("column"), F.col("value"), plan.bounds)
-    return running_sums(hist, keys, ["value"], sums or {"cum": "n"}, bucket)
+    return running_sums(hist, keys, ["value"], sums or {"cum": "n"}, bucket, few_keys=keys == ["column"])
 
 
 def rank_tables(df: DataFrame, columns: dict[str, Column], plan: OrderPlan) -> dict[str, DataFrame]:
