@@ -240,7 +240,11 @@ def _points(cum: DataFrame, keys: list[str], points: int | Column) -> DataFrame:
     floor_to = f"case when {one} then {last} else least({ceil_div(f'({high} + 1) * {m1}', n1)} - 1, {last}) end"
     ceil_from = f"case when {one} or cum = n then 0L else {floor_div(f'({low} - 1) * {m1}', n1)} + 1 end"
     ceil_to = f"case when {one} then {last} else least({floor_div(f'{high} * {m1}', n1)}, {last}) end"
-    source = cum if isinstance(points, int) else cum.withColumn("_m1", (points - 1).cast("bigint"))
+    if isinstance(points, int):
+        # On a short grid hardly any value holds a point: drop the others before rows are made.
+        source = cum.filter(f"{floor_from} <= {floor_to} or {ceil_from} <= {ceil_to}")
+    else:
+        source = cum.withColumn("_m1", (points - 1).cast("bigint"))
     return source.select(
         *keys, "value", "cum_total",
         F.expr(f"inline(array(struct(true as left, {floor_from} as a, {floor_to} as b), "
