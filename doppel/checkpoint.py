@@ -7,21 +7,24 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpoint_dir(spark: SparkSession) -> str | None:
-    """The shared folder the cluster names; on a local master a temporary one is set where none is."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder the cluster names; on a local master a temporary one is set where none is.
+
+    Raises where a cluster names none: a folder of one machine is not seen by the others.
+    """
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    if named:
-        spark.sparkContext.setCheckpointDir(named)
-        return named
-    if spark.sparkContext.master.startswith("local"):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="doppel-checkpoint-"))
-        return spark.sparkContext.getCheckpointDir()
-    return None
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="doppel-checkpoint-")
+    spark.sparkContext.setCheckpointDir(named)
+    return spark.sparkContext.getCheckpointDir()
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """The frame written once to the checkpoint folder; the frame itself where the cluster names none."""
-    return df.checkpoint() if checkpoint_dir(df.sparkSession) else df
+    """The frame written once to the checkpoint folder."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
