@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doppel.llm import packing, token_files
+from doppel.llm import chat, packing, token_files, topk
 from doppel.llm.batches import run_folder
 
 END_ID = 2
@@ -16,6 +16,57 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    finite = "vec_id is not null and embedding is not null and forall(embedding, x -> x is not null and abs(cast(x as double)) < double('infinity'))"
+    vectors = table(spark, sf_dir, "embeddings").where(finite).selectExpr(
+        "cast(vec_id as long) vec_id", "transform(embedding, x -> floor(256D * cast(x as double))) vector")
+    return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), 5)
+
+
+OP3_SQL = """
+with v as (
+  select vec_id, [floor(256 * x::double) for x in embedding] as vector from embeddings
+  where embedding is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
+s as (
+  select q.vec_id as query_id, c.vec_id, list_inner_product(q.vector, c.vector)::bigint as score
+  from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id),
+r as (select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score from s)
+select * from r where rank <= 5
+"""
+
+# A conversation of control strings, formatted beside the given ones.
+CONTROL_CONVERSATION = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").selectExpr("cast(conv_id as long) conv_id", "cast(turn as long) turn", "role", "text")
+    own = spark.createDataFrame(CONTROL_CONVERSATION, "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.format_examples(given.unionByName(own)))
+
+
+def _escaped_sql(c: str) -> str:
+    c = f"replace({c}, '\\', '\\\\')"
+    for s in chat.CONTROL:
+        c = f"replace({c}, '{s}', '{s[0]}\\{s[1:]}')"
+    return c
+
+
+OP7_SQL = f"""
+with t as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all values (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+s as (
+  select *, row_number() over w as k, count(*) over (partition by conv_id) as n,
+    sum(22 + length({_escaped_sql('role')}) + length({_escaped_sql('text')})) over (w rows unbounded preceding) as upto
+  from t window w as (partition by conv_id order by turn, role, text))
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by k)) as turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by k) filter (role = 'assistant'), '')) as loss_sha256,
+  (sum(upto) filter (role = 'assistant' or k = n))::bigint as formatted_chars
+from s group by conv_id
+"""
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), END_ID)
     return made.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -28,7 +79,12 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_exact_topk": op3_exact_topk,
+    "op7_chat_formatting": op7_chat_formatting,
     "op8_packing": op8_packing,
     "op9_token_files": op9_token_files,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op3_exact_topk": OP3_SQL,
+    "op7_chat_formatting": OP7_SQL,
+}
