@@ -87,13 +87,13 @@ def _search(vectors: DataFrame, ids: list[int], rows: list[list[int]], dims: int
     exact = max(reach) < 2 ** 53
     shared = spark.sparkContext.broadcast((np.array(ids, np.int64), own.astype(np.float64 if exact else np.int64)))
     low = np.array([-r if exact else -(2 ** 63) for r in reach], object)
-    span = [2 * r + 1 if exact else 2 ** 64 for r in reach]
+    span = np.array([2 * r + 1 if exact else 2 ** 64 - 1 for r in reach], object)
     wide = np.array([-(-s // BINS) for s in span], object)
     above = np.zeros(len(ids), np.int64)
     found = np.zeros(len(ids), bool)
     while not found.all():
         sums = vectors.select("vec_id", "vector").mapInArrow(
-            _histogram(shared, _longs(low), _longs(wide), k), "query int, bin int, n long").groupBy("query", "bin").agg(F.sum("n").alias("n"))
+            _histogram(shared, _longs(low), span.astype(np.uint64), wide.astype(np.uint64), k), "query int, bin int, n long").groupBy("query", "bin").agg(F.sum("n").alias("n"))
         counts: dict[int, list[tuple[int, int]]] = {}
         for r in sums.collect():  # at most BINS sums for each query of the block
             counts.setdefault(r["query"], []).append((r["bin"], r["n"]))
@@ -108,7 +108,7 @@ def _search(vectors: DataFrame, ids: list[int], rows: list[list[int]], dims: int
                 continue
             low[q] += at * wide[q]
             found[q] = wide[q] == 1
-            wide[q] = max(1, -(-wide[q] // BINS))
+            span[q], wide[q] = wide[q], max(1, -(-wide[q] // BINS))
     rest = np.array([k - a for a in above], np.int64)
     hits = vectors.select("vec_id", "vector").mapInArrow(_hits(shared, _longs(low), rest), "query_id long, query int, vec_id long, score long")
     order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
@@ -119,7 +119,7 @@ def _longs(values: np.ndarray) -> np.ndarray:
     return np.array([min(int(v), 2 ** 63 - 1) for v in values], np.int64)
 
 
-def _histogram(shared, low: np.ndarray, wide: np.ndarray, k: int) -> Callable:
+def _histogram(shared, low: np.ndarray, span: np.ndarray, wide: np.ndarray, k: int) -> Callable:
     """Counts by query and bin from the top down to where the task itself has k; lower bins cannot hold the kth value."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, queries = shared.value
@@ -127,9 +127,10 @@ def _histogram(shared, low: np.ndarray, wide: np.ndarray, k: int) -> Callable:
         base = np.arange(len(ids)) * BINS
         for _, scores, own in _scores(batches, ids, queries):
             # As unsigned numbers, so that a range over all longs does not overflow.
-            at = (scores.view(np.uint64) - low.view(np.uint64)[None, :]) // wide.view(np.uint64)[None, :]
-            keep = (scores >= low[None, :]) & (at < BINS) & ~own
-            total += np.bincount((at.astype(np.int64) + base[None, :])[keep], minlength=len(total))
+            over = scores.view(np.uint64) - low.view(np.uint64)[None, :]
+            keep = (scores >= low[None, :]) & (over < span[None, :]) & ~own
+            at = (over // wide[None, :]).astype(np.int64) + base[None, :]
+            total += np.bincount(at[keep], minlength=len(total))
         total = total.reshape(len(ids), BINS)
         higher = total[:, ::-1].cumsum(1)[:, ::-1] - total
         query, bin_ = np.nonzero((total > 0) & (higher < k))
