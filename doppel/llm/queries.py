@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doppel.llm import chat, packing, token_files, topk
+from doppel.llm import chat, packing, quality, token_files, topk
 from doppel.llm.batches import run_folder
 
 END_ID = 2
@@ -78,11 +78,25 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def remainder(n: int):
+    """crc32 of doc_id as text, modulo n; null ids have remainder null."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(remainder(3) == 1, F.lit(False))
+    model = quality.fit(docs.where(~held_out), table(spark, sf_dir, "labels"))
+    scored = quality.score(docs.withColumn("held_out", held_out), model)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op3_exact_topk": op3_exact_topk,
     "op7_chat_formatting": op7_chat_formatting,
     "op8_packing": op8_packing,
     "op9_token_files": op9_token_files,
+    "op10_quality": op10_quality,
 }
 ORACLES = {
     "op3_exact_topk": OP3_SQL,
