@@ -10,12 +10,15 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from functools import lru_cache
 
 import numpy as np
 
+# A word of Latin letters and the full stop or comma after it.
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,]?)").fullmatch
 # Pieces remembered in a Python worker before it starts afresh; bounds memory, changes no ids.
-REMEMBERED = 500_000
+REMEMBERED = 750_000
 
 
 class _Index(dict):
@@ -64,7 +67,12 @@ class Encoder:
         if self.lossless:
             for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
                 self.width[i] = len(token.encode()) if token in self.added else len(token)
-        self.bar = self._whole(["|"])[0]
+        # Else an id that closes a word ends in the model's mark, and case is dropped.
+        self.closing = np.zeros(self.vocabulary, bool)
+        suffix = self.tokenizer.model.end_of_word_suffix
+        if suffix and not self.lossless:
+            for token, i in self.tokenizer.get_vocab().items():
+                self.closing[i] = token.endswith(suffix)
         self.line = self._whole(["\n"])[0].tobytes()
         self.marks = {m: self._whole([m])[0].tobytes() for m in ("", ".", ",")}
         self.words: dict[str, dict[str, bytes]] = {" ": {}, "\n": {}}
@@ -81,17 +89,15 @@ class Encoder:
             stop = np.searchsorted(np.cumsum(self.width[ids]), ends) + 1
             start = np.concatenate([[0], stop[:-1]]) + (lead == "\n")  # the break is an id of its own
         else:
-            ids = self._whole([" | ".join(words) + " |"])[0]
-            stop = np.flatnonzero(ids == self.bar[0])
-            start = np.concatenate([[0], stop[:-1] + 1])
+            ids = self._whole([" ".join(words)])[0]
+            stop = np.flatnonzero(self.closing[ids]) + 1
+            start = np.concatenate([[0], stop[:-1]])
         raw = ids.tobytes()
         return [raw[a:b] for a, b in zip((4 * start).tolist(), (4 * stop).tolist())]
 
     def _words(self, lead: str, words: list[str]) -> dict[str, bytes]:
         """Ids of plain words by word; new ones are encoded."""
         known = self.words[lead]
-        if len(known) > REMEMBERED:
-            known.clear()
         new = [w for w in dict.fromkeys(words) if w not in known]
         for k in range(0, len(new), 1000):
             known.update(zip(new[k:k + 1000], self._joined(new[k:k + 1000], lead)))
@@ -99,24 +105,20 @@ class Encoder:
 
     def _learn(self, spaced: bool, pieces: list[str]) -> None:
         """Encode new pieces: lines of a plain word and one mark from their words, others by the library."""
-        if not spaced and self.lossless:
-            cut = [None] * len(pieces)
+        if not self.lossless:
+            # The library drops case; for the letters of plain words Python's rule is the same.
+            parts = [[_PLAIN(part.lower()) for part in p.split("\n")] if "\n" in p else _PLAIN(p.lower()) for p in pieces]
+        elif spaced:
+            parts = [[_PLAIN(part) for part in p.split("\n")] if "\n" in p else _PLAIN(p) for p in pieces]
         else:
-            cut = [[_plain(part) for part in p.split("\n")] for p in pieces]
-            cut = [None if None in parts else parts for parts in cut]
-        first = self._words(" ", [parts[0][0] for parts in cut if parts])
-        later = self._words("\n" if self.lossless else " ", [w for parts in cut if parts for w, _ in parts[1:]])
-        rest = iter(self._whole([(" " if spaced else "") + p for p, parts in zip(pieces, cut) if not parts]))
-        found = []
-        for parts in cut:
-            if parts is None:
-                found.append(next(rest).tobytes())
-                continue
-            word, mark = parts[0]
-            ids = first[word] + self.marks[mark]
-            for word, mark in parts[1:]:
-                ids += self.line + later[word] + self.marks[mark]
-            found.append(ids)
+            parts = [None] * len(pieces)
+        parts = [None if type(m) is list and None in m else m for m in parts]
+        first = self._words(" ", [m[0][1] if type(m) is list else m[1] for m in parts if m])
+        later = self._words("\n" if self.lossless else " ", [x[1] for m in parts if type(m) is list for x in m[1:]])
+        rest = iter(self._whole([(" " if spaced else "") + p for p, m in zip(pieces, parts) if m is None]))
+        marks, line = self.marks, self.line
+        found = [next(rest).tobytes() if m is None else first[m[1]] + marks[m[2]] if type(m) is not list else
+                 first[m[0][1]] + marks[m[0][2]] + b"".join(line + later[x[1]] + marks[x[2]] for x in m[1:]) for m in parts]
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
         self.pools[spaced].add(pieces, np.frombuffer(b"".join(found), np.uint32), sizes)
 
@@ -134,6 +136,9 @@ class Encoder:
         for spaced, pool in self.pools.items():
             if len(pool.index) > REMEMBERED:
                 self.pools[spaced] = _Pool()
+        for known in self.words.values():
+            if len(known) > REMEMBERED:
+                known.clear()
         split = [(t or "").split(" ") for t in texts]
         counts = np.fromiter(map(len, split), np.int64, len(split))
         firsts = self._numbers(False, [s[0] for s in split])
@@ -156,12 +161,6 @@ class Encoder:
         return out
 
 
-def _plain(part: str) -> tuple[str, str] | None:
-    """A word of Latin letters and the full stop or comma after it; None for anything else."""
-    word = part[:-1] if part[-1:] in (".", ",") else part
-    return (word, part[len(word):]) if word.isalpha() and (word.isascii() or max(word) < "\u0100") else None
-
-
 def _tail(index: dict, before: int) -> list[str]:
     """Keys numbered from `before`, in order."""
     out = []
