@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doppel.llm import chat, packing, quality, token_files, topk
+from doppel.llm import chat, packing, quality, token_files, topk, toxicity
 from doppel.llm.batches import run_folder
 
 END_ID = 2
@@ -83,16 +83,25 @@ def remainder(n: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(remainder(4) == 2, F.lit(False))
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~held_out))
+    scored = toxicity.score(docs.withColumn("held_out", held_out), model)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.coalesce(remainder(3) == 1, F.lit(False))
-    model = quality.fit(docs.where(~held_out), table(spark, sf_dir, "labels"))
+    model = quality.fit(docs, table(spark, sf_dir, "labels").where(~held_out))
     scored = quality.score(docs.withColumn("held_out", held_out), model)
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 QUERIES = {
     "op3_exact_topk": op3_exact_topk,
+    "op4_toxicity": op4_toxicity,
     "op7_chat_formatting": op7_chat_formatting,
     "op8_packing": op8_packing,
     "op9_token_files": op9_token_files,
