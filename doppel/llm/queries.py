@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doppel.llm import chat, lm, packing, quality, token_files, topk, toxicity
+from doppel.llm import chat, jaccard, lm, packing, quality, token_files, topk, toxicity
 from doppel.llm.batches import run_folder
 
 END_ID = 2
@@ -91,6 +91,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents")).select("doc_id", "copy_id", "class_id", "n_links")
+
+
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return lm.score(docs.withColumn("held_out", F.coalesce(remainder(5) == 1, F.lit(False))))
@@ -107,6 +111,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_exact_topk": op3_exact_topk,
     "op4_toxicity": op4_toxicity,
+    "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_lm_scoring": op6_lm_scoring,
     "op7_chat_formatting": op7_chat_formatting,
     "op8_packing": op8_packing,

@@ -38,8 +38,8 @@ def mix(h: np.ndarray) -> np.ndarray:
 class Words:
     """The words of some texts: `hashes` back to back, `counts` by text, `starts` and `ends` in `raw`, the joined bytes."""
 
-    def __init__(self, texts: list[str], lower: bool = True):
-        parts = [t.encode("utf-8", "replace") for t in texts]
+    def __init__(self, texts: list[str] | list[bytes], lower: bool = True):
+        parts = [t if isinstance(t, bytes) else t.encode("utf-8", "replace") for t in texts]
         raw = b" ".join(parts) + b" "
         self.raw = raw.translate(_LOWER) if lower else raw
         data = np.frombuffer(self.raw, np.uint8)
