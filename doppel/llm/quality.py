@@ -2,10 +2,10 @@
 
 Indicators are hashed words, n-grams of word shapes (case, digits, marks) and
 of the pattern of words that repeat one of the three before.
-Each class counts its documents with an indicator over all labelled rows; the indicator's value is the logarithm of
-the ratio of the two smoothed shares. Documents are scaled to unit length. A hinge-loss model is fitted by dual coordinate
-descent on at most SAMPLE labelled rows of each class, those with the lowest hash of their id, and a logistic curve over margins
-of rows it was not fitted on turns margins into scores.
+Each class counts its labelled documents with an indicator (at most labelled.LABELLED in all); the indicator's value
+is the logarithm of the ratio of the two smoothed shares. Documents are scaled to unit length. A hinge-loss model is fitted
+by dual coordinate descent on at most SAMPLE of them for each class, those with the lowest hash of their id, and a logistic
+curve over margins of rows it was not fitted on turns margins into scores.
 """
 
 from __future__ import annotations
@@ -14,10 +14,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from doppel.llm.batches import slices
+from doppel.llm.labelled import labelled
 from doppel.llm.words import Words, mix
 
 SIZE = 1 << 18  # hashed indicators
@@ -64,13 +65,6 @@ def indicators(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return key // SIZE, key % SIZE
 
 
-def _labelled(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """Texts of documents with a label of 0 or 1; of contradicting rows for one id the highest label counts."""
-    known = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
-             .where("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label")))
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").join(known, "doc_id")
-
-
 def _counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     total = np.zeros((2, SIZE + 1), np.int64)  # the last place counts documents
     for part in slices(frames):
@@ -143,7 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
 
     Without rows of both classes every score is the share of class 1, or 0.5 without any rows.
     """
-    rows = _labelled(docs, labels, label)
+    rows = labelled(docs, labels, label)
     sums = rows.select("text", "label").mapInPandas(_counts, "at int, n0 long, n1 long").groupBy("at").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas()
     count = np.zeros((2, SIZE + 1))  # at most SIZE + 1 sums
     count[:, sums["at"]] = sums[["n0", "n1"]].to_numpy().T
@@ -153,8 +147,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
         return Model(np.zeros(SIZE), np.zeros(SIZE), 1.0, float(np.log(share / (1 - share))))
     share = (count[:, :SIZE] + SMOOTH) / (total[:, None] + 2 * SMOOTH)
     ratio = np.log(share[1] / share[0])
-    rows = rows.withColumn("tie", F.xxhash64("doc_id"))
-    low = [rows.where(F.col("label") == c).select("tie").orderBy("tie").limit(SAMPLE).agg(F.max("tie")).first()[0] for c in (0, 1)]
+    low = {r["label"]: r["tie"] for r in rows.select("label", "tie").withColumn("place", F.row_number().over(Window.partitionBy("label").orderBy("tie")))
+           .where(F.col("place") <= SAMPLE).groupBy("label").agg(F.max("tie").alias("tie")).collect()}
     picked = (rows.where(((F.col("label") == 0) & (F.col("tie") <= low[0])) | ((F.col("label") == 1) & (F.col("tie") <= low[1])))
               .select("text", "label", "tie").mapInPandas(_vectors, "label int, tie long, at binary"))
 
@@ -173,7 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
         weight = _descend(at, y, ratio)
         yield pd.DataFrame({"weight": [weight.astype("<f8").tobytes()], "slope": [slope], "offset": [offset]})
 
-    made = picked.coalesce(1).mapInPandas(train, "weight binary, slope double, offset double").first()
+    made = picked.repartition(1).mapInPandas(train, "weight binary, slope double, offset double").first()
     return Model(np.frombuffer(made["weight"], "<f8"), ratio, made["slope"], made["offset"])
 
 
