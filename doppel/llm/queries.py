@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doppel.llm import chat, jaccard, lines, lm, packing, quality, token_files, topk, toxicity
+from doppel.llm import chat, decontamination, jaccard, lines, lm, packing, quality, token_files, topk, toxicity
 from doppel.llm.batches import run_folder
 
 END_ID = 2
@@ -20,6 +20,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     finite = "vec_id is not null and embedding is not null and forall(embedding, x -> x is not null and abs(cast(x as double)) < double('infinity'))"
     vectors = table(spark, sf_dir, "embeddings").where(finite).selectExpr(
@@ -114,6 +118,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_decontamination": op2_decontamination,
     "op3_exact_topk": op3_exact_topk,
     "op4_toxicity": op4_toxicity,
     "op5_ngram_jaccard": op5_ngram_jaccard,
