@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from doppel.checkpoint import settled
-from doppel.llm.batches import slices
+from doppel.llm.batches import free, slices
 from doppel.llm.groups import Forest, cells, connected, tidy
 from doppel.llm.words import Words, mix, ngrams
 
@@ -181,5 +181,6 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     """
     found = join(docs, **options)
     best = found.groupBy("root", F.when(F.col("root").isNull(), F.col("did")).alias("own")).agg(F.min(F.struct("doc_id", "did")).alias("first"))
-    marked = docs.withColumn("did", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    return marked.join(best.select("first.did"), "did", "left_semi").dropDuplicates(["did"]).drop("did")
+    did = free(docs, "did")
+    marked = docs.withColumn(did, F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    return marked.join(best.select(F.col("first.did").alias(did)), did, "left_semi").dropDuplicates([did]).drop(did)

@@ -13,11 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doppel.checkpoint import settled
-from doppel.llm.batches import slices
+from doppel.llm.batches import free, slices
 from doppel.llm.groups import Forest, cells, connected, tidy
 from doppel.llm.words import Words, mix
 
@@ -175,8 +175,9 @@ def _texts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["node", "sim", "root", "text"])
 
 
-def _documents(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("did", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
+def _did() -> Column:
+    """What names a document: a hash of its id and text."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
 def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
@@ -187,7 +188,7 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, radius: int
     Lines without words are no one's copy. Null and empty texts, empty tables: no rows.
     """
     spark = docs.sparkSession
-    rows = _documents(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), "did")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), _did().alias("did"))
     place = F.struct("doc_id", "did", "line")
     occurrences = rows.mapInPandas(_line_rows, "doc_id long, did long, line int, node long, sim long")
     occurrences = settled(occurrences)
@@ -213,18 +214,18 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, radius: int
     return doubled.groupBy("did").agg(F.array_sort(F.collect_set("line")).alias("lines"))
 
 
-def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS, n_lines: str = "n_lines", n_removed: str = "n_removed") -> DataFrame:
     """The documents without lines that repeat a line kept elsewhere, see repeated_lines; all columns stay.
 
-    Adds n_lines and n_removed (replacing columns of these names). A null text stays null.
+    Adds the numbers of lines and of removed lines, in place of columns of these names. A null text stays null.
     """
-    found = settled(repeated_lines(docs, similarity, radius).withColumnRenamed("lines", "_gone"))
+    did, gone = free(docs, "did"), free(docs, "gone")
+    found = settled(repeated_lines(docs, similarity, radius)).select(F.col("did").alias(did), F.col("lines").alias(gone))
     tidy(docs.sparkSession)
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    marked = _documents(docs.drop("n_lines", "n_removed")).join(found, "did", "left")
-    lines = F.split(text, "\n", -1)
+    lines = F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n", -1)
     left = F.array_join(F.transform(F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))),
-                                             lambda r: ~F.array_contains("_gone", r["i"])), lambda r: r["x"]), "\n")
-    made = marked.withColumn("n_lines", F.size(lines).cast("long")).withColumn("n_removed", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
-    made = made.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left))
-    return made.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")], "n_lines", "n_removed")
+                                             lambda r: ~F.array_contains(gone, r["i"])), lambda r: r["x"]), "\n")
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in (n_lines, n_removed, "text")]
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(left).alias("text")
+    return (docs.withColumn(did, _did()).join(found, did, "left")
+            .select(*kept, text, F.size(lines).cast("long").alias(n_lines), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias(n_removed)))
