@@ -1,10 +1,12 @@
 """Fuzzy line deduplication by SimHash.
 
 A line is normalised (lower case, digits as 0, no punctuation, single spaces). Lines with the same words are one node. Each node has a
-64-bit SimHash of its words; nodes that agree in one of the BLOCKS pigeonhole blocks of it meet, and those within RADIUS bits
-are candidates of each other. Any two SimHashes within BLOCKS - 1 bits agree in some block. Candidate groups are verified on the
-normalised texts by edit similarity, where a pair that is already connected through others is not compared again, and of
-each connected group the first occurrence stays.
+SimHash of its words, of WORDS * 64 bits; nodes that agree in one of its pigeonhole blocks of BITS bits meet if their lengths allow
+the similarity, and those within RADIUS of the first 64 bits are candidates of each other. Any two SimHashes with fewer
+differing bits than blocks agree in some block; at 5 % changed words, about 10 % of the bits, 9 of 10 pairs do. Candidate groups
+are verified on the normalised texts by edit similarity, where a pair that is already connected through others is not
+compared again, and of each connected group the first occurrence stays. BITS should grow with the logarithm of the
+number of lines: a value is shared by chance by about lines / 2 ** BITS of them.
 """
 
 from __future__ import annotations
@@ -22,9 +24,10 @@ from doppel.llm.groups import Forest, cells, connected, tidy
 from doppel.llm.words import Words, mix
 
 SIMILARITY = 0.8
-BLOCKS = 4
+WORDS = 3
 BITS = 16
-RADIUS = 10
+RADIUS = 11
+LENGTHS = 0.7  # least ratio of the bytes of two lines compared; looser than SIMILARITY, which counts characters
 PAIRS = 1 << 20  # SimHashes compared at once
 
 # ASCII punctuation goes, other white space within a line becomes a space, digits become 0.
@@ -37,8 +40,8 @@ def normal_lines(text: str) -> list[bytes]:
     return text.lower().encode("utf-8", "replace").translate(_TABLE, _PUNCTUATION).split(b"\n")
 
 
-def described(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all lines with words: the text's number, the line's number, a hash of its words in order, and their SimHash."""
+def described(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all lines with words: the text's number, the line's number, a hash of its words in order, its bytes, its SimHash."""
     lines = [normal_lines(t) for t in texts]
     size = np.fromiter(map(len, lines), np.int64, len(lines))
     words = Words([x for own in lines for x in own], lower=False)
@@ -47,19 +50,32 @@ def described(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     number = np.arange(len(text)) - np.repeat(np.cumsum(size) - size, size)
     if not len(full):
         none = np.zeros(0, np.uint64)
-        return text[full], number[full], none, none
-    first = (np.cumsum(words.counts) - words.counts)[full]
-    place = np.arange(len(words.hashes)) - np.repeat(first, words.counts[full])
+        return text[full], number[full], none, none.astype(np.int64), none.reshape(0, WORDS)
+    counts = words.counts[full]
+    first = np.cumsum(counts) - counts
+    place = np.arange(len(words.hashes)) - np.repeat(first, counts)
     key = mix(np.add.reduceat(mix(words.hashes + mix(place.astype(np.uint64) + np.uint64(1))), first))
-    sim = np.zeros(len(full), np.uint64)
-    step = 4096
-    for a in range(0, len(full), step):  # the bits of the words take 64 bytes each
-        b = min(a + step, len(full))
-        end = first[b] if b < len(full) else len(words.hashes)
-        bits = np.unpackbits(words.hashes[first[a]:end].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        votes = np.add.reduceat(bits, first[a:b] - first[a], axis=0, dtype=np.int32)
-        sim[a:b] = np.packbits(2 * votes >= words.counts[full[a:b], None], axis=1, bitorder="little").view("<u8").ravel()
-    return text[full], number[full], key, sim
+    length = np.add.reduceat(words.ends - words.starts + 1, first) - 1
+    return text[full], number[full], key, length, simhash(words.hashes, counts)
+
+
+def simhash(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """WORDS times 64 bits for each run of words: whether most of its words have the bit. No run is empty.
+
+    Eight counters share a 64-bit number, so runs are summed in parts of up to 255 words.
+    """
+    parts = -(-counts // 255)
+    start = np.repeat(np.cumsum(counts) - counts, parts) + 255 * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
+    out = np.zeros((len(counts), WORDS), np.uint64)
+    for w in range(WORDS):
+        votes = np.zeros((len(start), 64), np.uint8)
+        own = mix(hashes + np.uint64(w + 1))
+        for k in range(8):
+            votes[:, k::8] = np.add.reduceat(own >> np.uint64(k) & np.uint64(0x0101010101010101), start).view(np.uint8).reshape(-1, 8)
+        if len(start) > len(counts):
+            votes = np.add.reduceat(votes, np.cumsum(parts) - parts, axis=0, dtype=np.int64)
+        out[:, w] = np.packbits(2 * votes.astype(np.int64) >= counts[:, None], axis=1, bitorder="little").view("<u8").ravel()
+    return out
 
 
 def similar(a: str, b: str, least: float) -> bool:
@@ -103,18 +119,20 @@ def distance(a: str, b: str) -> int:
 
 def _line_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for part in slices(frames):
-        text, number, key, sim = described(part["text"].tolist())
-        yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").take(text).array, "did": part["did"].to_numpy()[text],
-                            "line": number.astype(np.int32), "node": key.view(np.int64), "sim": sim.view(np.int64)})
+        text, number, key, length, sims = described(part["text"].tolist())
+        yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").take(text).array, "did": part["did"].to_numpy()[text], "line": number.astype(np.int32),
+                            "node": key.view(np.int64), "length": np.minimum(length, 2 ** 31 - 1).astype(np.int32)}
+                           | {f"sim{w}": np.ascontiguousarray(sims[:, w]).view(np.int64) for w in range(WORDS)})
 
 
-def _close(sims: np.ndarray, run: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions of pairs of the same run within the radius; rows are sorted by run."""
-    _, first, size = np.unique(run, return_index=True, return_counts=True)
-    end = np.repeat(first + size, size)
+def _close(sims: np.ndarray, run: np.ndarray, length: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of pairs of the same run within the radius and of like length; rows are sorted by run, then length."""
+    _, size = np.unique(run, return_counts=True)
+    end = np.repeat(np.cumsum(size), size)
     at = np.arange(len(sims))
     for d in range(1, int(size.max(initial=1))):
         at = at[at + d < end[at]]
+        at = at[LENGTHS * length[at + d] <= length[at]]
         for k in range(0, len(at), PAIRS):
             i = at[k:k + PAIRS]
             near = np.bitwise_count(sims[i] ^ sims[i + d]) <= radius
@@ -122,21 +140,22 @@ def _close(sims: np.ndarray, run: np.ndarray, radius: int) -> Iterator[tuple[np.
 
 
 def _met(radius: int):
-    """Links between SimHashes that share a block: a spanning forest of those within the radius, for each run of a block's value."""
+    """Links between SimHashes that share a block: a spanning forest of those within the radius, for each value of a block."""
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
         for frame in frames:
             frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
-            last = int(np.searchsorted(frame["block"].to_numpy(), frame["block"].iloc[-1])) if len(frame) else 0
+            run = frame["block"].to_numpy() >> 32
+            last = int(np.searchsorted(run, run[-1])) if len(run) else 0
             rest = frame.iloc[last:]
             yield forest(frame.iloc[:last])
         if rest is not None:
             yield forest(rest)
 
     def forest(frame: pd.DataFrame) -> pd.DataFrame:
-        sims = frame["sim"].to_numpy(np.int64)
+        sims, block = frame["sim"].to_numpy(np.int64), frame["block"].to_numpy(np.int64)
         groups, linked = Forest(len(sims)), set()
-        for i, j in _close(sims.view(np.uint64), frame["block"].to_numpy(), radius):
+        for i, j in _close(sims.view(np.uint64), block >> 32, block & 0xFFFFFFFF, radius):
             for a, b in zip(i.tolist(), j.tolist()):
                 if groups.find(a) != groups.find(b):
                     groups.join(a, b)
@@ -190,13 +209,14 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, radius: int
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), _did().alias("did"))
     place = F.struct("doc_id", "did", "line")
-    occurrences = rows.mapInPandas(_line_rows, "doc_id long, did long, line int, node long, sim long")
-    occurrences = settled(occurrences)
-    nodes = settled(occurrences.groupBy("node").agg(F.min(place).alias("first"), F.first("sim").alias("sim")))
-    blocks = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BLOCKS - 1)), lambda k: F.struct(
-        k.alias("k"), F.call_function("shiftright", F.col("sim"), (k * BITS).cast("int")).bitwiseAND(F.lit((1 << BITS) - 1).cast("long")).alias("v"))))
-    met = (nodes.select("sim").distinct().select("sim", blocks.alias("x")).select("sim", (F.col("x.k") * (1 << BITS) + F.col("x.v")).alias("block"))
-           .repartition("block").sortWithinPartitions("block", "sim").mapInPandas(_met(radius), "a long, b long"))
+    sims = [f"sim{w}" for w in range(WORDS)]
+    occurrences = settled(rows.mapInPandas(_line_rows, "doc_id long, did long, line int, node long, length int, " + ", ".join(f"{c} long" for c in sims)))
+    nodes = settled(occurrences.groupBy("node").agg(F.min(place).alias("first"), F.first("length").alias("length"), *[F.first(c).alias(c) for c in sims])
+                    .withColumnRenamed("sim0", "sim"))
+    # The block's number and value, then the length, so that sorting puts lines of like length side by side.
+    values = [(F.shiftrightunsigned("sim" if w == 0 else f"sim{w}", k * BITS).bitwiseAND(F.lit((1 << BITS) - 1).cast("long")) + F.lit((w * (64 // BITS) + k) << BITS)) for w in range(WORDS) for k in range(64 // BITS)]
+    met = (nodes.select("sim", "length", F.explode(F.array(*values)).alias("value")).select("sim", "value", (F.shiftleft("value", 32) + F.col("length")).alias("block"))
+           .repartition("value").sortWithinPartitions("block").select("sim", "block").mapInPandas(_met(radius), "a long, b long"))
     groups = connected(met)
     twins = nodes.groupBy("sim").agg(F.count("*").alias("n")).where("n > 1").select(F.col("sim").alias("node"))
     candidates = settled(groups.unionAll(twins.join(groups.select("node"), "node", "left_anti").select("node", F.col("node").alias("root"))))
