@@ -60,15 +60,7 @@ def counts_of(src: str, key: str) -> str:
 
 
 def drawn(rows: str, x: str, hist: str, out: str) -> str:
-    """rows with `out` drawn from a value/n histogram by column x, values in order of falling n."""
-    return f"""(select r.* exclude ({x}), h.value as {out} from {rows} r join (
-        select value, (sum(n) over w - n) / sum(n) over ()::double as lo,
-               case when row_number() over w = count(*) over () then 2.0 else sum(n) over w / sum(n) over ()::double end as hi
-        from {hist} window w as (order by n desc, value)) h on r.{x} >= h.lo and r.{x} < h.hi)"""
-
-
-def drawn_long(rows: str, x: str, hist: str, out: str) -> str:
-    """The same for a histogram of many values, in hash order."""
+    """rows with `out` drawn from a value/n histogram by column x, values in hash order."""
     return f"""(select r.* exclude ({x}), h.value as {out} from {rows} r join (
         select value, sum(n) over w - n as lo, sum(n) over w as hi, sum(n) over () as total
         from {hist} window w as (order by {u('draw', 'value', seed=0)}, value)) h
@@ -93,7 +85,7 @@ _O1 = (f"(select order_id, customer_id, {u('order:day', 'order_id')} as d, {u('o
        f"{u('order:discount', 'order_id')} as y, {u('order:tax', 'order_id')} as t from {ORDER_ROWS})")
 ORDER_GEN = f"""(select order_id, customer_id, strftime(date '2023-01-01' + {int_sql('d', 0, 700)}::integer, '%Y-%m-%d') as order_date, status,
     discount::decimal(18,2) as discount, ([0.05, 0.08, 0.1])[cast(floor(t * 3.0::double) as bigint) + 1]::double as tax_rate
-    from {drawn_long(drawn(_O1, 'x', values_sql(ORDERS, 'status'), 'status'), 'y', values_sql(ORDERS, 'discount'), 'discount')})"""
+    from {drawn(drawn(_O1, 'x', values_sql(ORDERS, 'status'), 'status'), 'y', values_sql(ORDERS, 'discount'), 'discount')})"""
 ITEM_ROWS = expanded(drawn(f"(select order_id, {u('items:count', 'order_id')} as x from {ORDER_ROWS})", "x", fan_sql(ITEMS, "order_id"), "n"),
                      "order_id", "item_id")
 _I1 = (f"(select item_id, order_id, {u('item:category', 'item_id')} as x, {u('item:product', 'item_id')} as p, "

@@ -52,6 +52,7 @@ def _admit(key: str, span: int, max_requests: int, columns: list[str]):
         for batch in batches:
             verdicts = []
             for k, segment, at in zip(batch[key], batch["_segment"], batch["_at"]):
+                k = None if pd.isna(k) else k
                 if (k, segment) != current:
                     current, admitted = (k, segment), deque()
                 while admitted and admitted[0] < at - span:
@@ -75,12 +76,14 @@ def rate_limit_admission(events: DataFrame, key: str, ts: str, event_id: str, wi
     times of one window are held.
     """
     span = window_seconds * 1_000_000
-    at = events.withColumn("_at", micros(events, ts)).withColumn("_slot", F.floor(F.col("_at") / span))
-    slots = at.select(col(key).alias(key), "_slot").distinct()
+    # A struct is never null: events without a key share one window.
+    at = (events.withColumn("_at", micros(events, ts)).withColumn("_slot", F.floor(F.col("_at") / span))
+          .withColumn("_key", F.struct(col(key))))
+    slots = at.select("_key", "_slot").distinct()
     # An empty slot between two occupied ones is a silence of more than one window.
-    order = Window.partitionBy(col(key)).orderBy("_slot")
+    order = Window.partitionBy("_key").orderBy("_slot")
     islands = slots.withColumn("_segment", F.col("_slot") - F.row_number().over(order))
-    rows = at.join(islands, [key, "_slot"]).repartition(col(key), "_segment").sortWithinPartitions(key, "_segment", "_at", event_id)
+    rows = at.join(islands, ["_key", "_slot"]).repartition("_key", "_segment").sortWithinPartitions("_key", "_segment", "_at", event_id)
     schema = T.StructType([*events.schema.fields, T.StructField("admitted", T.BooleanType())])
     return rows.select(*[col(c) for c in events.columns], "_segment", "_at").mapInPandas(
         _admit(key, span, max_requests, events.columns), schema)

@@ -16,7 +16,6 @@ NAME_HINTS = [
     ("name", ["name"]),
     ("credit_card", ["card", "cc"]),
 ]
-SNIFF_ROWS = 10
 
 
 def hinted_type(name: str, col_type: str | None) -> str:
@@ -30,16 +29,13 @@ def hinted_type(name: str, col_type: str | None) -> str:
     return "text"
 
 
-def sniffed_type(df: DataFrame, name: str) -> str:
-    """Mask type from ten values that a hash of the value chooses."""
-    v = col(name).cast("string")
-    sample = df.filter(col(name).isNotNull()).select(v.alias("v")).orderBy(F.md5("v"), "v").limit(SNIFF_ROWS)
-    seen = sample.agg(
-        F.max(F.contains(F.col("v"), F.lit("@"))).alias("at"), F.max(F.col("v").rlike(r"\d{3,}")).alias("digits")
-    ).first()
-    if seen["at"]:
-        return "email"
-    return "phone" if seen["digits"] else "text"
+def sniffed_types(df: DataFrame, names: list[str]) -> dict[str, str]:
+    """Mask types from all values, in one pass: e-mail if some value holds an @, phone if some holds three digits in a row."""
+    if not names:
+        return {}
+    seen = df.agg(*[e for i, c in enumerate(names) for v in [col(c).cast("string")] for e in (
+        F.max(F.contains(v, F.lit("@"))).alias(f"at{i}"), F.max(v.rlike(r"\d{3,}")).alias(f"digits{i}"))]).first()
+    return {c: "email" if seen[f"at{i}"] else "phone" if seen[f"digits{i}"] else "text" for i, c in enumerate(names)}
 
 
 def mask(v: Column, kind: str) -> Column:
@@ -50,7 +46,7 @@ def mask_column(df: DataFrame, name: str, col_type: str | None = "text") -> Data
     """Mask one column by type, by its name, or by what its values look like."""
     kind = hinted_type(name, col_type)
     if kind == "text":
-        kind = sniffed_type(df, name)
+        kind = sniffed_types(df, [name])[name]
     return df.withColumn(name, mask(col(name), kind))
 
 
@@ -80,7 +76,7 @@ def apply_privacy(df: DataFrame, rules: list[dict], ids: list[str] | None = None
 
     Rules: {column, method: mask | pseudonymize | noise, col_type, salt, epsilon,
     sensitivity}. Noise draws and its scale come from the values as read; noise
-    on a stream needs an explicit sensitivity.
+    on a stream needs an explicit sensitivity, a mask there a col_type or a telling column name.
     """
     rules = [r for r in rules if r.get("column") in df.columns]
     measured = {
@@ -89,6 +85,10 @@ def apply_privacy(df: DataFrame, rules: list[dict], ids: list[str] | None = None
     }
     if measured and df.isStreaming:
         raise ValueError("noise on a stream needs an explicit sensitivity")
+    guessed = [r["column"] for r in rules if r.get("method", "mask") == "mask" and hinted_type(r["column"], r.get("col_type", "text")) == "text"]
+    if guessed and df.isStreaming:
+        raise ValueError(f"masks on a stream need a col_type for {', '.join(guessed)}")
+    kinds = sniffed_types(df, list(dict.fromkeys(guessed)))
     ranges = value_ranges(df, measured)
     id_columns = [col(c) for c in ids or []]
     out: dict[str, Column] = {}
@@ -97,8 +97,8 @@ def apply_privacy(df: DataFrame, rules: list[dict], ids: list[str] | None = None
         current = out.get(name, col(name))
         if method == "mask":
             kind = hinted_type(name, rule.get("col_type", "text"))
-            if kind == "text" and not df.isStreaming:
-                kind = sniffed_type(df, name)
+            if kind == "text":
+                kind = kinds[name]
             out[name] = mask(current, kind)
         elif method == "pseudonymize":
             out[name] = masking.pseudonym(current.cast("string"), rule["salt"])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from datetime import date
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ from doppel.operators.order_stats import (
 )
 
 PRICE_POINTS = 50
-SMALL_TABLE = 500       # value lists up to this size are drawn from a literal list
+SMALL_TABLE = 500       # value lists up to this size are drawn from a literal list; the draws are the same either way
 MAX_TAX_RATES = 1000
 HASH_BUCKET_ROWS = 2_000_000
 # Windows of generated dates and fallbacks of unlearned parts.
@@ -221,20 +222,22 @@ def model_summary(model: RelationalModel) -> DataFrame:
 def draw(df: DataFrame, u: str, table: DataFrame, out: str) -> DataFrame:
     """Add `out`: a value drawn from a value/n histogram by the uniform column u.
 
-    Few values stand in order of falling n, then value. A long histogram is not
-    collected and stands in hash order: draws become row numbers of the source, and an equi-join on
-    slices of the row numbers finds the value that owns each.
+    Values stand in hash order and draws become row numbers of the source. A short histogram is a literal
+    list; a long one is not collected, and an equi-join on slices of the row numbers finds the value that
+    owns each. Both give the same rows.
     """
-    ordered = table.orderBy(F.desc("n"), "value").limit(SMALL_TABLE + 1).collect()
+    hashed = table.select("value", "n", uniform(0, "draw", F.col("value")).alias("_h"))
+    ordered = hashed.orderBy("_h", "value").limit(SMALL_TABLE + 1).collect()
     if not ordered:
         return df.withColumn(out, F.lit(None).cast(table.schema["value"].dataType))
     if len(ordered) <= SMALL_TABLE:
-        values, ends = [r["value"] for r in ordered], cumulative([r["n"] for r in ordered])
-        return df.withColumn(out, interval_pick(values, ends, F.col(u)))
+        ends = list(accumulate(r["n"] for r in ordered))
+        place = F.least(F.floor(F.col(u) * F.lit(float(ends[-1]))), F.lit(ends[-1] - 1))
+        return df.withColumn(out, interval_pick([r["value"] for r in ordered], ends, place))
     sizes = table.agg(F.sum("n").alias("t"), F.count(F.lit(1)).alias("rows")).first()
     total, slices = sizes["t"], -(-sizes["rows"] // HASH_BUCKET_ROWS)
     # Hash order spreads the values evenly over the slices of the running sum.
-    ranked = table.select(F.lit("v").alias("column"), "value", "n", uniform(0, "draw", F.col("value")).alias("_h"))
+    ranked = hashed.select(F.lit("v").alias("column"), "value", "n", "_h")
     bucket = F.floor(F.col("_h") * slices).cast("int") if slices > 1 else None
     cum = running_sums(ranked, ["column"], ["_h", "value"], {"upto": "n"}, bucket)
     # About as many slices as values, so a slice holds a few values and an even share of the draws.

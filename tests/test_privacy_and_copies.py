@@ -53,8 +53,8 @@ def test_two_noise_columns_get_different_noise(spark):
 
 def test_sniffed_mask(spark):
     df = spark.createDataFrame([("a1@x.org",)] * 30 + [(None,)], "thing string")
-    assert privacy.sniffed_type(df, "thing") == "email"
-    assert privacy.sniffed_type(spark.createDataFrame([("tag 1234",)], "thing string"), "thing") == "phone"
+    assert privacy.sniffed_types(df, ["thing"]) == {"thing": "email"}
+    assert privacy.sniffed_types(spark.createDataFrame([("tag 1234",)], "thing string"), ["thing"]) == {"thing": "phone"}
 
 
 TYPES = {"a": "float", "b": "float", "c": "categorical"}
