@@ -37,6 +37,12 @@ def admitted(spark, d):
     return out.select("event_id", "user_id", "admitted")
 
 
+def admitted_null_key(spark, d):
+    """The same where every seventh user is unknown."""
+    rows = table(spark, d, "events").select("event_id", "ts", F.when(F.col("user_id") % 7 != 0, F.col("user_id")).alias("user_id"))
+    return events.rate_limit_admission(rows, "user_id", "ts", "event_id", WINDOW, LIMIT).select("event_id", "user_id", "admitted")
+
+
 def private_stream(spark, d):
     out = privacy.run_available(privacy.stream_privacy(stream(spark, d, "customer"), STREAM_RULES, ["c_custkey"]))
     return out.select("c_custkey", "c_name", F.round("c_acctbal", 6).alias("c_acctbal"), "c_mktsegment")
@@ -82,6 +88,7 @@ def windows_sql(step: int, size: int) -> str:
 QUERIES = {
     "request_rate": rated,
     "rate_limit_admission": admitted,
+    "rate_limit_admission_null_key": admitted_null_key,
     "audit_stats": lambda sp, d: events.audit_stats(log(table(sp, d, "events")), "ts", "event_id"),
     "audit_recent": lambda sp, d: events.audit_recent(log(table(sp, d, "events")), "ts", "event_id").select("event_id", "row_count", "execution_time_ms"),
     "stream_privacy": private_stream,
@@ -95,6 +102,8 @@ ORACLES = {
         select event_id, user_id, count(*) over (partition by user_id order by {_US} range between {WINDOW * 1000000} preceding and current row) as used
         from events)""",
     "rate_limit_admission": ADMISSION_SQL,
+    "rate_limit_admission_null_key": ADMISSION_SQL.replace("from events)", "from (select * replace (case when user_id % 7 <> 0 then user_id end as user_id) from events))")
+        .replace("e.user_id = r.user_id", "e.user_id is not distinct from r.user_id"),
     "audit_stats": f"""select count(*) as total_events, sum(event_id % 500)::bigint as total_rows_generated, {rnd('avg(value)', 2)} as avg_execution_time_ms,
         {rnd("avg(case when event_type = 'purchase' then 1.0::double else 0.0::double end) * 100", 1)} as privacy_noise_usage_pct
         from (select * from events order by ts desc, event_id desc limit 1000)""",

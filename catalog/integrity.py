@@ -91,6 +91,13 @@ def balance_rows(spark, d):
     return out.select("account", "seq", F.col("expected_balance").cast("double").alias("expected_balance"))
 
 
+def balance_rows_null_account(spark, d):
+    """The same where every seventh account is unknown."""
+    rows = ledger(spark, d).withColumn("account", F.when(F.col("account") % 7 != 0, F.col("account")))
+    out = integrity.running_balance(rows, "account", "seq", 1000.0)
+    return out.select("account", "seq", F.col("expected_balance").cast("double").alias("expected_balance"))
+
+
 def failed(spark, d):
     out = integrity.failed_totals(stated_orders(spark, d), order_lines(spark, d))
     return out.select("order_id", "subtotal", F.col("expected_subtotal").cast("double").alias("expected_subtotal"),
@@ -131,6 +138,7 @@ QUERIES = {
     "check_order_totals": lambda s, d: integrity.check_order_totals(stated_orders(s, d), order_lines(s, d)),
     "failed_totals": failed,
     "running_balance": balance_rows,
+    "running_balance_null_account": balance_rows_null_account,
     "check_running_balance": lambda s, d: integrity.check_running_balance(
         stated_ledger(s, d), "account", "seq", 1000.0),
     "validate_relational": validate,
@@ -156,6 +164,8 @@ ORACLES = {
         from checked where abs(subtotal - expected_subtotal) > 0.01 or abs(order_total - expected_total) > 0.01
         order by order_id limit 5""",
     "running_balance": f"with {LEDGER_SQL} select account, seq, expected_balance::double as expected_balance from run",
+    "running_balance_null_account": f"with {LEDGER_SQL.replace('user_id as account', 'case when user_id % 7 <> 0 then user_id end as account')} "
+                                    "select account, seq, expected_balance::double as expected_balance from run",
     "check_running_balance": f"""with {LEDGER_SQL}
         select account, bm = 0 and ov = 0 as valid, transactions_checked, bm as balance_mismatches,
                ov as overdraft_violations, 1000.0::double as opening_balance, closing_balance
