@@ -5,12 +5,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from doppel.checkpoint import checkpoint_dir
 
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 1_500_000
 
 
 def texts(column: pd.Series) -> list[str]:
@@ -21,9 +22,11 @@ def texts(column: pd.Series) -> list[str]:
 def slices(frames: Iterable[pd.DataFrame], column: str = "text", most: int = SLICE_CHARS) -> Iterator[pd.DataFrame]:
     """The batches cut into runs of rows of about `most` characters, so that memory does not follow the batch size."""
     for frame in frames:
-        frame = frame.reset_index(drop=True)
-        frame[column] = texts(frame[column])
-        run = frame[column].str.len().astype("int64").cumsum() // most
+        if not len(frame):
+            continue
+        found = texts(frame[column])
+        frame = frame.assign(**{column: found}).reset_index(drop=True)
+        run = np.cumsum([len(t) for t in found]) // most
         for _, part in frame.groupby(run, sort=True):
             yield part.reset_index(drop=True)
 
@@ -33,6 +36,13 @@ def run_folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The frame written to a new folder below the shared checkpoint folder and read again; smaller than a checkpoint."""
+    path = run_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def free(df: DataFrame, name: str) -> str:
     """A column name like `name` that the frame has not."""
     taken = {c.lower() for c in df.columns}

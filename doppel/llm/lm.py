@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doppel.llm.batches import slices
+from doppel.llm.groups import tidy
 from doppel.llm.words import Words, mix
 
 ORDER = 2
@@ -81,7 +82,9 @@ def _counted(frame: pd.DataFrame, order: int) -> tuple[np.ndarray, np.ndarray]:
     train = np.repeat(~frame["held_out"].to_numpy(bool), sizes)
     keys = np.concatenate(states(hashes, sizes, order))
     found, at = np.unique(keys, return_inverse=True)
-    return found, np.bincount(at, np.tile(train, order), len(found)).astype(np.int64)
+    place = np.arange(len(hashes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    whole = np.concatenate([train & (place >= n - 2) for n in range(1, order + 1)])  # shorter ones are counted as what they are
+    return found, np.bincount(at, whole, len(found)).astype(np.int64)
 
 
 def _asked(block: int, keys: np.ndarray, counts: np.ndarray, buckets: int) -> pd.DataFrame:
@@ -117,13 +120,14 @@ class Automaton:
         counts = [self.totals[np.searchsorted(self.keys, k)] for k in states(hashes, sizes, self.order)]
         base = (counts[0] + 0.5) / (self.n + 0.5 * (self.v + 1))
         first = np.cumsum(sizes) - sizes
+        place = np.arange(len(hashes)) - np.repeat(first, sizes)
         p = base
         for n in range(2, self.order + 1):
             # The context is what ended one token earlier; at the start of a text it is the end.
             context = np.concatenate([[0], counts[n - 2][:-1]]).astype(float)
             context[first] = self.ends
             share = context / (context + self.smooth)
-            p = np.where(context > 0, share * counts[n - 1] / np.maximum(context, 1) + (1 - share) * p, p)
+            p = np.where((context > 0) & (place >= n - 2), share * counts[n - 1] / np.maximum(context, 1) + (1 - share) * p, p)
         return counts[0], np.log10(base), np.log10(p)
 
     @property
@@ -159,6 +163,7 @@ def score(docs: DataFrame, order: int = ORDER, smooth: float = SMOOTH) -> DataFr
     seen = (docs.select("text", "held_out").mapInPandas(types, asked).groupBy("bucket").applyInPandas(sums, "n long, v long")
             .agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first())
     n, v = int(seen[0]), int(seen[1])
+    tidy(docs.sparkSession)
     dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("long"))
 
     def ask(frame: pd.DataFrame) -> pd.DataFrame:
