@@ -62,11 +62,6 @@ def interval_index(ends: Column, size: int, u: Column) -> Column:
     return F.aggregate(F.expr(f"array({', '.join(map(str, steps))})"), F.lit(0), advance)
 
 
-def weighted_pick(values: Sequence, weights: Sequence[float], u: Column) -> Column:
-    """Element drawn with the given weights (any positive scale)."""
-    return interval_pick(values, cumulative(weights), u)
-
-
 def array_literal(values: Sequence) -> Column:
     """A literal array of numbers or texts, built as one expression."""
     def text(v):

@@ -22,7 +22,10 @@ def folder_stream(spark: SparkSession, path: str, schema: T.StructType, pattern:
 
 
 def run_available(stream: DataFrame, output: str | None = None) -> DataFrame:
-    """Process all that is there and read the result back from the shared folder."""
+    """Process all that is there and read the result back from the shared folder.
+
+    Windows of a watermarked aggregation that the last watermark has not passed are not emitted.
+    """
     spark = stream.sparkSession
     base = output or f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
     query = (stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{base}/state")
