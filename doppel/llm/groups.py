@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from doppel.checkpoint import settled
 
-BLOCK = 256  # members compared with each other in one call
 CELL = 2048  # members of small groups in one call
 
 
@@ -31,7 +30,7 @@ def connected(links: DataFrame) -> DataFrame:
     until nothing changes; the number of rounds grows with the logarithm of the longest path.
     """
     spark = links.sparkSession
-    now = settled(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    now, links = settled(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()), None
     state = None
     while True:
         both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -43,6 +42,7 @@ def connected(links: DataFrame) -> DataFrame:
         small = (large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
                  .unionAll(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
         now = settled(small)
+        del both, least, large, small  # or their shuffle files stay
         seen = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
         tidy(spark)
         if state == tuple(seen):
@@ -52,15 +52,15 @@ def connected(links: DataFrame) -> DataFrame:
         now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def cells(members: DataFrame, group: str, node: str) -> DataFrame:
+def cells(members: DataFrame, group: str, node: str, block: int) -> DataFrame:
     """Members dealt so that any two of a group meet in exactly one cell: columns cell, side (0, 1, or 2 for both) are added.
 
-    Groups of up to BLOCK members share cells of about CELL members; a larger group is cut into blocks by a hash, and each pair of
-    its blocks is a cell. Members of a group of n are repeated about n / BLOCK times.
+    Groups of up to `block` members share cells of about CELL members; a larger group is cut into blocks by a hash, and each pair of
+    its blocks is a cell. Members of a group of n are repeated about n / block times.
     """
     counts = members.groupBy(group).agg(F.count("*").alias("members"))
     total = counts.agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0]
-    sized = members.join(counts, group).withColumn("blocks", F.ceil(F.col("members") / BLOCK))
+    sized = members.join(counts, group).withColumn("blocks", F.ceil(F.col("members") / block))
     small = sized.where("blocks = 1").withColumn(
         "cell", F.concat(F.lit("s"), F.pmod(F.xxhash64(group), F.lit(total // CELL + 1)).cast("string"))).withColumn("side", F.lit(2))
     own = F.pmod(F.xxhash64(node), F.col("blocks"))

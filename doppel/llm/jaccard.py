@@ -27,6 +27,7 @@ THRESHOLD = 0.8
 RECALL = 0.9999
 ROWS = 4
 COLUMNS = 4096  # n-grams counted at once
+BLOCK = 256  # members of a candidate group compared with each other in one call
 
 
 def bands(threshold: float, recall: float, rows: int = ROWS) -> int:
@@ -131,6 +132,13 @@ def intersections(grams: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _candidates(nodes: DataFrame, count: int) -> DataFrame:
+    """node, root: the groups of nodes that agree in a band, over any number of steps."""
+    banded = nodes.select("node", "signature").mapInPandas(_banded(ROWS, count), "band long, node long")
+    met = banded.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("band", "least")
+    return settled(connected(banded.join(met, "band").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))))
+
+
 def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """Per document its group and the number of other documents whose n-gram sets are at least `threshold` similar.
 
@@ -146,9 +154,7 @@ def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: floa
     described = settled(rows.mapInPandas(_described(n, count * ROWS), "doc_id long, did long, node long, signature binary"))
     nodes = settled(described.where("node is not null").groupBy("node").agg(
         F.min(F.struct("doc_id", "did")).alias("first"), F.min("doc_id").alias("copy_id"), F.count("*").alias("copies"), F.first("signature").alias("signature")))
-    banded = nodes.select("node", "signature").mapInPandas(_banded(ROWS, count), "band long, node long")
-    met = banded.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("band", "least")
-    candidates = settled(connected(banded.join(met, "band").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))))
+    candidates = _candidates(nodes, count)
     tidy(spark)
 
     def gather(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -161,7 +167,7 @@ def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: floa
     members = settled(rows.select("did", "text").join(wanted, "did").dropDuplicates(["node"])
                       .mapInPandas(gather, "node long, root long, copies long, grams binary"))
     tidy(spark)
-    verified = settled(cells(members, "root", "node").groupBy("cell").applyInPandas(_verified(threshold), "node long, up long, links long"))
+    verified = settled(cells(members, "root", "node", BLOCK).groupBy("cell").applyInPandas(_verified(threshold), "node long, up long, links long"))
     groups = connected(verified.where("node <> up").select(F.col("node").alias("a"), F.col("up").alias("b")))
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
     known = (nodes.select("node", "copy_id", "copies").join(groups, "node", "left").join(links, "node", "left")

@@ -1,8 +1,8 @@
 """Fuzzy line deduplication by SimHash.
 
 A line is normalised (lower case, digits as 0, no punctuation, single spaces). Lines with the same words are one node. Each node has a
-SimHash of its words, of WORDS * 64 bits; nodes that agree in one of its pigeonhole blocks of BITS bits meet if their lengths allow
-the similarity, and those within RADIUS of the first 64 bits are candidates of each other. Any two SimHashes with fewer
+SimHash of its distinct words, of WORDS * 64 bits; nodes that agree in one of its pigeonhole blocks of BITS bits meet if their lengths allow
+the similarity, and those within RADIUS of the first 128 bits are candidates of each other. Any two SimHashes with fewer
 differing bits than blocks agree in some block; at 5 % changed words, about 10 % of the bits, 9 of 10 pairs do. Candidate groups
 are verified on the normalised texts by edit similarity, where a pair that is already connected through others is not
 compared again, and of each connected group the first occurrence stays. BITS should grow with the logarithm of the
@@ -19,16 +19,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doppel.checkpoint import settled
-from doppel.llm.batches import free, slices
+from doppel.llm.batches import free, slices, written
 from doppel.llm.groups import Forest, cells, connected, tidy
 from doppel.llm.words import Words, mix
 
 SIMILARITY = 0.8
 WORDS = 3
 BITS = 16
-RADIUS = 11
+RADIUS = 22
 LENGTHS = 0.7  # least ratio of the bytes of two lines compared; looser than SIMILARITY, which counts characters
 PAIRS = 1 << 20  # SimHashes compared at once
+BLOCK = 2048  # members of a candidate group compared with each other in one call
 
 # ASCII punctuation goes, other white space within a line becomes a space, digits become 0.
 _PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
@@ -56,7 +57,13 @@ def described(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     place = np.arange(len(words.hashes)) - np.repeat(first, counts)
     key = mix(np.add.reduceat(mix(words.hashes + mix(place.astype(np.uint64) + np.uint64(1))), first))
     length = np.add.reduceat(words.ends - words.starts + 1, first) - 1
-    return text[full], number[full], key, length, simhash(words.hashes, counts)
+    # Each distinct word votes once, or the few words that fill every text would make all long lines alike.
+    line = np.repeat(np.arange(len(counts)), counts)
+    order = np.lexsort((words.hashes, line))
+    line, hashes = line[order], words.hashes[order]
+    new = np.ones(len(line), bool)
+    new[1:] = (line[1:] != line[:-1]) | (hashes[1:] != hashes[:-1])
+    return text[full], number[full], key, length, simhash(hashes[new], np.bincount(line[new], minlength=len(counts)))
 
 
 def simhash(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -94,11 +101,11 @@ def similar(a: str, b: str, least: float) -> bool:
         while k < min(len(a), len(b)) and a[:2 * k] == b[:2 * k]:
             k *= 2
         a, b = a[k:], b[k:]
-    return max(len(a), len(b)) <= most or distance(a, b) <= most
+    return max(len(a), len(b)) <= most or distance(a, b, most) <= most
 
 
-def distance(a: str, b: str) -> int:
-    """Edit distance, a column of the table at a time in the bits of two integers."""
+def distance(a: str, b: str, most: int | None = None) -> int:
+    """Edit distance, a column of the table at a time in the bits of two integers; any number above `most` where it is above."""
     if not a or not b:
         return len(a) + len(b)
     at: dict[str, int] = {}
@@ -106,7 +113,7 @@ def distance(a: str, b: str) -> int:
         at[c] = at.get(c, 0) | 1 << i
     mask, top = (1 << len(a)) - 1, 1 << len(a) - 1
     plus, minus, score = mask, 0, len(a)  # where the column rises and falls
-    for c in b:
+    for left, c in zip(range(len(b) - 1, -1, -1), b):
         eq = at.get(c, 0)
         steady = eq | minus
         across = ((eq & plus) + plus ^ plus) | eq
@@ -114,6 +121,8 @@ def distance(a: str, b: str) -> int:
         score += bool(rise & top) - bool(fall & top)
         rise, fall = rise << 1 & mask | 1, fall << 1 & mask
         plus, minus = fall | ~(steady | rise) & mask, rise & steady
+        if most is not None and score - left > most:
+            return most + 1
     return score
 
 
@@ -125,8 +134,8 @@ def _line_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                            | {f"sim{w}": np.ascontiguousarray(sims[:, w]).view(np.int64) for w in range(WORDS)})
 
 
-def _close(sims: np.ndarray, run: np.ndarray, length: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions of pairs of the same run within the radius and of like length; rows are sorted by run, then length."""
+def _close(sims: np.ndarray, more: np.ndarray, run: np.ndarray, length: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of pairs of the same run within the radius in two words each and of like length; rows are sorted by run, then length."""
     _, size = np.unique(run, return_counts=True)
     end = np.repeat(np.cumsum(size), size)
     at = np.arange(len(sims))
@@ -135,7 +144,7 @@ def _close(sims: np.ndarray, run: np.ndarray, length: np.ndarray, radius: int) -
         at = at[LENGTHS * length[at + d] <= length[at]]
         for k in range(0, len(at), PAIRS):
             i = at[k:k + PAIRS]
-            near = np.bitwise_count(sims[i] ^ sims[i + d]) <= radius
+            near = np.bitwise_count(sims[i] ^ sims[i + d]) + np.bitwise_count(more[i] ^ more[i + d]) <= radius
             yield i[near], i[near] + d
 
 
@@ -153,9 +162,9 @@ def _met(radius: int):
             yield forest(rest)
 
     def forest(frame: pd.DataFrame) -> pd.DataFrame:
-        sims, block = frame["sim"].to_numpy(np.int64), frame["block"].to_numpy(np.int64)
+        sims, more, block = (frame[c].to_numpy(np.int64) for c in ("sim", "sim1", "block"))
         groups, linked = Forest(len(sims)), set()
-        for i, j in _close(sims.view(np.uint64), block >> 32, block & 0xFFFFFFFF, radius):
+        for i, j in _close(sims.view(np.uint64), more.view(np.uint64), block >> 32, block & 0xFFFFFFFF, radius):
             for a, b in zip(i.tolist(), j.tolist()):
                 if groups.find(a) != groups.find(b):
                     groups.join(a, b)
@@ -171,15 +180,18 @@ def _verified(least: float, radius: int):
         out = []
         for _, group in frame.groupby("root", sort=True):
             group = group.sort_values("node")
-            texts, side, sims = group["text"].tolist(), group["side"].to_numpy(), group["sim"].to_numpy(np.int64).view(np.uint64)
-            forest = Forest(len(texts))
+            texts, side = group["text"].tolist(), group["side"].to_numpy()
+            sims, more = (group[c].to_numpy(np.int64).view(np.uint64) for c in ("sim", "sim1"))
+            least_of = np.arange(len(texts))  # the first position of each position's group
             for i in range(len(texts) - 1):
-                near = np.flatnonzero((np.bitwise_count(sims[i] ^ sims[i + 1:]) <= radius) & ((side[i + 1:] != side[i]) | (side[i] == 2))) + i + 1
-                for j in near.tolist():
-                    if forest.find(i) != forest.find(j) and similar(texts[i], texts[j], least):
-                        forest.join(i, j)
+                near = np.bitwise_count(sims[i] ^ sims[i + 1:]) + np.bitwise_count(more[i] ^ more[i + 1:]) <= radius
+                near &= ((side[i + 1:] != side[i]) | (side[i] == 2)) & (least_of[i + 1:] != least_of[i])
+                for j in (np.flatnonzero(near) + i + 1).tolist():
+                    if least_of[i] != least_of[j] and similar(texts[i], texts[j], least):
+                        a, b = sorted((least_of[i], least_of[j]))
+                        least_of[least_of == b] = a
             node = group["node"].to_numpy(np.int64)
-            out.append(pd.DataFrame({"a": node, "b": node[forest.roots()]}))
+            out.append(pd.DataFrame({"a": node, "b": node[least_of]}))
         return pd.concat(out)[lambda x: x["a"] != x["b"]]
     return work
 
@@ -190,8 +202,8 @@ def _texts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for text, wanted in zip(part["text"], part["wanted"]):
             lines = normal_lines(text)
-            rows += [(w["node"], w["sim"], w["root"], b" ".join(lines[w["line"]].split()).decode("utf-8", "replace")) for w in wanted]
-        yield pd.DataFrame(rows, columns=["node", "sim", "root", "text"])
+            rows += [(w["node"], w["sim"], w["sim1"], w["root"], b" ".join(lines[w["line"]].split()).decode("utf-8", "replace")) for w in wanted]
+        yield pd.DataFrame(rows, columns=["node", "sim", "sim1", "root", "text"])
 
 
 def _did() -> Column:
@@ -199,6 +211,10 @@ def _did() -> Column:
     return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
+def _place() -> Column:
+    return F.struct("doc_id", "did", "line")
+
+
 def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """Per document the numbers (from 0) of the lines that repeat a line kept elsewhere: did, lines.
 
@@ -208,32 +224,45 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, radius: int
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), _did().alias("did"))
-    place = F.struct("doc_id", "did", "line")
     sims = [f"sim{w}" for w in range(WORDS)]
-    occurrences = settled(rows.mapInPandas(_line_rows, "doc_id long, did long, line int, node long, length int, " + ", ".join(f"{c} long" for c in sims)))
-    nodes = settled(occurrences.groupBy("node").agg(F.min(place).alias("first"), F.first("length").alias("length"), *[F.first(c).alias(c) for c in sims])
-                    .withColumnRenamed("sim0", "sim"))
-    # The block's number and value, then the length, so that sorting puts lines of like length side by side.
-    values = [(F.shiftrightunsigned("sim" if w == 0 else f"sim{w}", k * BITS).bitwiseAND(F.lit((1 << BITS) - 1).cast("long")) + F.lit((w * (64 // BITS) + k) << BITS)) for w in range(WORDS) for k in range(64 // BITS)]
-    met = (nodes.select("sim", "length", F.explode(F.array(*values)).alias("value")).select("sim", "value", (F.shiftleft("value", 32) + F.col("length")).alias("block"))
-           .repartition("value").sortWithinPartitions("block").select("sim", "block").mapInPandas(_met(radius), "a long, b long"))
-    groups = connected(met)
-    twins = nodes.groupBy("sim").agg(F.count("*").alias("n")).where("n > 1").select(F.col("sim").alias("node"))
-    candidates = settled(groups.unionAll(twins.join(groups.select("node"), "node", "left_anti").select("node", F.col("node").alias("root"))))
+    schema = "doc_id long, did long, line int, node long, length int, " + ", ".join(f"{c} long" for c in sims)
+    occurrences = written(rows.mapInPandas(_line_rows, schema), "lines")
+    nodes = written(occurrences.groupBy("node").agg(F.min(_place()).alias("first"), F.first("length").alias("length"), *[F.first(c).alias(c) for c in sims])
+                    .withColumnRenamed("sim0", "sim"), "line-nodes")
     tidy(spark)
-    wanted = (nodes.join(candidates.withColumnRenamed("node", "sim"), "sim").groupBy("first.did")
-              .agg(F.collect_list(F.struct("node", "sim", "root", "first.line")).alias("wanted")))
-    members = settled(rows.select("did", "text").join(wanted, "did").dropDuplicates(["did"]).mapInPandas(_texts, "node long, sim long, root long, text string"))
+    members = _members(rows, nodes, _candidates(nodes, radius))
+    tidy(spark)
+    fuzzy = connected(cells(members, "root", "node", BLOCK).groupBy("cell").applyInPandas(_verified(similarity, radius), "a long, b long"))
     tidy(spark)
-    links = cells(members, "root", "node").groupBy("cell").applyInPandas(_verified(similarity, radius), "a long, b long")
-    fuzzy = connected(links)
     kept = (nodes.join(fuzzy, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first")
             .join(nodes.join(fuzzy, "node").groupBy("root").agg(F.min("first").alias("best")), "root", "left")
             .select("node", F.coalesce("best", "first").alias("best")))
-    doubled = occurrences.select("did", "line", "node", place.alias("own")).join(kept, "node").where("own <> best")
+    doubled = occurrences.select("did", "line", "node", _place().alias("own")).join(kept, "node").where("own <> best")
     return doubled.groupBy("did").agg(F.array_sort(F.collect_set("line")).alias("lines"))
 
 
+def _candidates(nodes: DataFrame, radius: int) -> DataFrame:
+    """node (a SimHash), root: the groups of SimHashes that meet, and SimHashes of several nodes."""
+    per_word = 64 // BITS
+    values = [F.shiftrightunsigned("sim" if w == 0 else f"sim{w}", k * BITS).bitwiseAND(F.lit((1 << BITS) - 1).cast("long"))
+              + F.lit((w * per_word + k) << BITS) for w in range(WORDS) for k in range(per_word)]
+    # The block's number and value, then the length, so that sorting puts lines of like length side by side.
+    met = (nodes.select("sim", "sim1", "length", F.explode(F.array(*values)).alias("value"))
+           .select("sim", "sim1", "value", (F.shiftleft("value", 32) + F.col("length")).alias("block"))
+           .repartition("value").sortWithinPartitions("block").select("sim", "sim1", "block").mapInPandas(_met(radius), "a long, b long"))
+    groups = connected(met)
+    twins = nodes.groupBy("sim").agg(F.count("*").alias("n")).where("n > 1").select(F.col("sim").alias("node"))
+    return settled(groups.unionAll(twins.join(groups.select("node"), "node", "left_anti").select("node", F.col("node").alias("root"))))
+
+
+def _members(rows: DataFrame, nodes: DataFrame, candidates: DataFrame) -> DataFrame:
+    """The nodes of candidate groups with their normalised texts, each read from its first occurrence."""
+    wanted = (nodes.join(candidates.withColumnRenamed("node", "sim"), "sim").groupBy("first.did")
+              .agg(F.collect_list(F.struct("node", "sim", "sim1", "root", "first.line")).alias("wanted")))
+    found = rows.select("did", "text").join(wanted, "did").dropDuplicates(["did"])
+    return written(found.mapInPandas(_texts, "node long, sim long, sim1 long, root long, text string"), "line-texts")
+
+
 def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS, n_lines: str = "n_lines", n_removed: str = "n_removed") -> DataFrame:
     """The documents without lines that repeat a line kept elsewhere, see repeated_lines; all columns stay.
 

@@ -74,7 +74,7 @@ def test_lines_brute_force(spark):
 
 
 def test_lines_in_a_large_group(spark, monkeypatch):
-    monkeypatch.setattr("doppel.llm.groups.BLOCK", 8)
+    monkeypatch.setattr(lines, "BLOCK", 8)
     rng = random.Random(2)
     base = words(rng, 60).split()
     rows = []
@@ -186,7 +186,7 @@ def shingles(text):
 
 
 def test_jaccard_brute_force(spark, monkeypatch):
-    monkeypatch.setattr("doppel.llm.groups.BLOCK", 8)
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
     rng = random.Random(8)
     rows = []
     for g in range(6):
