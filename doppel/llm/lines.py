@@ -1,16 +1,20 @@
 """Fuzzy line deduplication by SimHash.
 
 A line is normalised (lower case, digits as 0, no punctuation, single spaces). Lines with the same words are one node. Each node has a
-SimHash of its distinct words, of WORDS * 64 bits; nodes that agree in one of its pigeonhole blocks of BITS bits meet if their lengths allow
-the similarity, and those within RADIUS of the first 128 bits are candidates of each other. Any two SimHashes with fewer
-differing bits than blocks agree in some block; at 5 % changed words, about 10 % of the bits, 9 of 10 pairs do. Candidate groups
-are verified on the normalised texts by edit similarity, where a pair that is already connected through others is not
-compared again, and of each connected group the first occurrence stays. BITS should grow with the logarithm of the
-number of lines: a value is shared by chance by about lines / 2 ** BITS of them.
+SimHash of its distinct runs of GRAM bytes, of WORDS * 64 bits. Nodes that agree in one of many pigeonhole blocks (random choices of
+its bits) meet, if their lengths allow the similarity; those within the radius are candidates of each other. `differing` says which
+share of bits is expected to differ at a similarity where whole words change. The number of blocks follows from RECALL for such a pair, the
+radius lies DEVIATIONS above its expected bits, and the bits of a block grow with the logarithm of the number of nodes, so that about
+MATES of them share a value by chance. Scattered single letters change more bits than whole words do; the README has the recall of
+both. Candidate groups are verified on the normalised texts by edit similarity, where a pair that is already connected through
+others is not compared again, and of each connected group the first occurrence stays.
+
+Blocks are worked off in rounds, so that the disk does not hold all of them.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,13 +24,18 @@ from pyspark.sql import functions as F
 
 from doppel.checkpoint import settled
 from doppel.llm.batches import free, slices, written
-from doppel.llm.groups import Forest, cells, connected, tidy
+from doppel.llm.groups import cells, connected, tidy
 from doppel.llm.words import Words, mix
 
 SIMILARITY = 0.8
-WORDS = 3
-BITS = 16
-RADIUS = 22
+WORDS = 4
+GRAM = 5  # shorter runs are shared by too many unrelated long lines
+RECALL = 0.9  # share of pairs at SIMILARITY that are to meet in a block
+DEVIATIONS = 2.5
+MATES = 64
+ROUND = 8  # blocks in a round, of large tables
+ROUND_ROWS = 3_000_000  # rows in a round, of small tables
+BATCH = 1 << 17  # rows of a task taken at once
 LENGTHS = 0.7  # least ratio of the bytes of two lines compared; looser than SIMILARITY, which counts characters
 PAIRS = 1 << 20  # SimHashes compared at once
 BLOCK = 2048  # members of a candidate group compared with each other in one call
@@ -57,19 +66,57 @@ def described(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     place = np.arange(len(words.hashes)) - np.repeat(first, counts)
     key = mix(np.add.reduceat(mix(words.hashes + mix(place.astype(np.uint64) + np.uint64(1))), first))
     length = np.add.reduceat(words.ends - words.starts + 1, first) - 1
-    # Each distinct word votes once, or the few words that fill every text would make all long lines alike.
-    line = np.repeat(np.arange(len(counts)), counts)
-    order = np.lexsort((words.hashes, line))
-    line, hashes = line[order], words.hashes[order]
-    new = np.ones(len(line), bool)
-    new[1:] = (line[1:] != line[:-1]) | (hashes[1:] != hashes[:-1])
-    return text[full], number[full], key, length, simhash(hashes[new], np.bincount(line[new], minlength=len(counts)))
+    hashes, voters = grams(words.raw, [len(x) + 1 for own in lines for x in own], full)
+    return text[full], number[full], key, length, simhash(hashes, voters)
+
+
+def grams(raw: bytes, sizes: list[int], full: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct runs of GRAM bytes of each line with words, back to back, and their numbers; spaces stand before a line's first byte.
+
+    raw: lines with a space after each, which are `sizes` long; those at `full` have words. Each distinct run votes once, or the few that fill every text would make
+    all long lines alike.
+    """
+    data = np.frombuffer(raw, np.uint8)
+    space = data == 32
+    single = np.flatnonzero(~(space & np.concatenate([[True], space[:-1]])))
+    rank = np.zeros(len(sizes), np.int64)
+    rank[full] = np.arange(len(full))
+    data, line = data[single].astype(np.uint64), np.repeat(rank, sizes)[single]
+    first = np.flatnonzero(np.diff(line, prepend=-1))
+    place = np.arange(len(line)) - first[line]
+    run = data.copy()
+    for k in range(1, GRAM):
+        run[k:] |= np.where(place[k:] >= k, data[:-k], 32).astype(np.uint64) << np.uint64(8 * k)
+        run[:k] |= np.uint64(32 << 8 * k) * (place[:k] < k)
+    run = np.sort(mix(run) & np.uint64(0xFFFFFFFF) | line.astype(np.uint64) << np.uint64(32))
+    run = run[np.concatenate([[True], run[1:] != run[:-1]])]
+    return mix(run & np.uint64(0xFFFFFFFF)), np.bincount((run >> np.uint64(32)).astype(np.int64), minlength=len(full))
+
+
+def differing(similarity: float) -> float:
+    """Share of SimHash bits expected to differ between lines of this edit similarity where whole words change."""
+    return math.acos(max(0.0, 1 - 1.25 * (1 - similarity))) / math.pi
+
+
+def radius_of(similarity: float) -> int:
+    """The bits expected to differ at this similarity, and DEVIATIONS."""
+    n, p = 64 * WORDS, differing(similarity)
+    return round(n * p + DEVIATIONS * math.sqrt(n * p * (1 - p)))
+
+
+def blocks_of(nodes: int, similarity: float, recall: float = RECALL) -> np.ndarray:
+    """Bits of each block, one block a row: as many blocks as a pair of this similarity needs to meet with the target recall."""
+    bits = min(30, max(4, math.ceil(math.log2(max(nodes, 1) / MATES))))
+    agree = (1 - differing(similarity)) ** bits
+    number = 1 if agree >= recall else math.ceil(math.log(1 - recall) / math.log(1 - agree))
+    rng = np.random.Generator(np.random.PCG64(11))
+    return np.array([rng.permutation(64 * WORDS)[:bits] for _ in range(number)])
 
 
 def simhash(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """WORDS times 64 bits for each run of words: whether most of its words have the bit. No run is empty.
+    """WORDS times 64 bits for each run of hashes: whether most of them have the bit. No run is empty.
 
-    Eight counters share a 64-bit number, so runs are summed in parts of up to 255 words.
+    Eight counters share a 64-bit number, so runs are summed in parts of up to 255 hashes.
     """
     parts = -(-counts // 255)
     start = np.repeat(np.cumsum(counts) - counts, parts) + 255 * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
@@ -131,47 +178,86 @@ def _line_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         text, number, key, length, sims = described(part["text"].tolist())
         yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").take(text).array, "did": part["did"].to_numpy()[text], "line": number.astype(np.int32),
                             "node": key.view(np.int64), "length": np.minimum(length, 2 ** 31 - 1).astype(np.int32)}
-                           | {f"sim{w}": np.ascontiguousarray(sims[:, w]).view(np.int64) for w in range(WORDS)})
+                           | {c: np.ascontiguousarray(sims[:, w]).view(np.int64) for w, c in enumerate(SIMS)})
+
 
+SIMS = [f"sim{w}" for w in range(WORDS)]
 
-def _close(sims: np.ndarray, more: np.ndarray, run: np.ndarray, length: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions of pairs of the same run within the radius in two words each and of like length; rows are sorted by run, then length."""
+
+def _bits(sims: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(sims).sum(axis=-1, dtype=np.int64)
+
+
+def _close(sims: np.ndarray, run: np.ndarray, length: np.ndarray, radius: int, up: np.ndarray) -> None:
+    """Joins pairs of the same run within the radius and of like length in the forest `up`; rows are sorted by run, then length.
+
+    After each step all of `up` are roots, and pairs that are already connected are not compared.
+    """
     _, size = np.unique(run, return_counts=True)
     end = np.repeat(np.cumsum(size), size)
     at = np.arange(len(sims))
     for d in range(1, int(size.max(initial=1))):
         at = at[at + d < end[at]]
         at = at[LENGTHS * length[at + d] <= length[at]]
+        if not len(at):
+            break
         for k in range(0, len(at), PAIRS):
             i = at[k:k + PAIRS]
-            near = np.bitwise_count(sims[i] ^ sims[i + d]) + np.bitwise_count(more[i] ^ more[i + d]) <= radius
-            yield i[near], i[near] + d
+            i = i[up[i] != up[i + d]]
+            i = i[_bits(sims[i] ^ sims[i + d]) <= radius]
+            if not len(i):
+                continue
+            for a, b in zip(i.tolist(), (i + d).tolist()):
+                while up[a] != a:
+                    a = up[a]
+                while up[b] != b:
+                    b = up[b]
+                up[max(a, b)] = min(a, b)
+            while True:
+                above = up[up]
+                if (above == up).all():
+                    break
+                up[:] = above
 
 
 def _met(radius: int):
     """Links between SimHashes that share a block: a spanning forest of those within the radius, for each value of a block."""
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
+        rest, size = [], 0
         for frame in frames:
-            frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
-            run = frame["block"].to_numpy() >> 32
-            last = int(np.searchsorted(run, run[-1])) if len(run) else 0
-            rest = frame.iloc[last:]
+            rest.append(frame)
+            size += len(frame)
+            if size < BATCH:
+                continue
+            frame = pd.concat(rest, ignore_index=True)
+            run = frame["block"].to_numpy() >> 24
+            last = int(np.searchsorted(run, run[-1]))
             yield forest(frame.iloc[:last])
-        if rest is not None:
-            yield forest(rest)
+            rest = [frame.iloc[last:]]
+            size = len(rest[0])
+        if size:
+            yield forest(pd.concat(rest, ignore_index=True))
 
     def forest(frame: pd.DataFrame) -> pd.DataFrame:
-        sims, more, block = (frame[c].to_numpy(np.int64) for c in ("sim", "sim1", "block"))
-        groups, linked = Forest(len(sims)), set()
-        for i, j in _close(sims.view(np.uint64), more.view(np.uint64), block >> 32, block & 0xFFFFFFFF, radius):
-            for a, b in zip(i.tolist(), j.tolist()):
-                if groups.find(a) != groups.find(b):
-                    groups.join(a, b)
-                    linked |= {a, b}
-        own = np.array(sorted(linked), np.int64)
-        up = np.array([groups.find(i) for i in own.tolist()], np.int64)
-        return pd.DataFrame({"a": sims[own], "b": sims[up]})[lambda x: x["a"] != x["b"]]
+        sims, block = frame[SIMS].to_numpy(np.int64), frame["block"].to_numpy(np.int64)
+        up = np.arange(len(sims))
+        _close(sims.view(np.uint64), block >> 24, block & 0xFFFFFF, radius, up)
+        return pd.DataFrame({"a": sims[:, 0], "b": sims[up, 0]})[lambda x: x["a"] != x["b"]].drop_duplicates()
+    return work
+
+
+def _values(blocks: np.ndarray, first: int):
+    """Of each SimHash its values of some blocks, with the number of the block above them."""
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            sims = np.ascontiguousarray(frame[SIMS].to_numpy(np.int64))
+            bits = np.unpackbits(sims.view(np.uint8).reshape(len(sims), -1), axis=1, bitorder="little")
+            values = np.zeros((len(sims), len(blocks)), np.int64)
+            for k, own in enumerate(blocks):
+                values[:, k] = first + k
+                for bit in own:
+                    values[:, k] = values[:, k] << 1 | bits[:, bit]
+            yield frame[[*SIMS, "length"]].assign(values=list(values))
     return work
 
 
@@ -181,10 +267,10 @@ def _verified(least: float, radius: int):
         for _, group in frame.groupby("root", sort=True):
             group = group.sort_values("node")
             texts, side = group["text"].tolist(), group["side"].to_numpy()
-            sims, more = (group[c].to_numpy(np.int64).view(np.uint64) for c in ("sim", "sim1"))
+            sims = np.ascontiguousarray(group[SIMS].to_numpy(np.int64)).view(np.uint64)
             least_of = np.arange(len(texts))  # the first position of each position's group
             for i in range(len(texts) - 1):
-                near = np.bitwise_count(sims[i] ^ sims[i + 1:]) + np.bitwise_count(more[i] ^ more[i + 1:]) <= radius
+                near = _bits(sims[i] ^ sims[i + 1:]) <= radius
                 near &= ((side[i + 1:] != side[i]) | (side[i] == 2)) & (least_of[i + 1:] != least_of[i])
                 for j in (np.flatnonzero(near) + i + 1).tolist():
                     if least_of[i] != least_of[j] and similar(texts[i], texts[j], least):
@@ -202,8 +288,8 @@ def _texts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for text, wanted in zip(part["text"], part["wanted"]):
             lines = normal_lines(text)
-            rows += [(w["node"], w["sim"], w["sim1"], w["root"], b" ".join(lines[w["line"]].split()).decode("utf-8", "replace")) for w in wanted]
-        yield pd.DataFrame(rows, columns=["node", "sim", "sim1", "root", "text"])
+            rows += [(w["node"], *[w[c] for c in SIMS], w["root"], b" ".join(lines[w["line"]].split()).decode("utf-8", "replace")) for w in wanted]
+        yield pd.DataFrame(rows, columns=["node", *SIMS, "root", "text"])
 
 
 def _did() -> Column:
@@ -215,22 +301,21 @@ def _place() -> Column:
     return F.struct("doc_id", "did", "line")
 
 
-def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, radius: int | None = None) -> DataFrame:
     """Per document the numbers (from 0) of the lines that repeat a line kept elsewhere: did, lines.
 
     docs: doc_id, text; did is a hash of both and names the document, so rows that repeat an id and text are one. Documents without
     repeated lines are left out. Of each connected group the line of the least doc_id (nulls first), then did, then number stays.
-    Lines without words are no one's copy. Null and empty texts, empty tables: no rows.
+    Radius: see radius_of. Lines without words are no one's copy. Null and empty texts, empty tables: no rows.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), _did().alias("did"))
-    sims = [f"sim{w}" for w in range(WORDS)]
-    schema = "doc_id long, did long, line int, node long, length int, " + ", ".join(f"{c} long" for c in sims)
+    radius = radius_of(similarity) if radius is None else radius
+    schema = "doc_id long, did long, line int, node long, length int, " + ", ".join(f"{c} long" for c in SIMS)
     occurrences = written(rows.mapInPandas(_line_rows, schema), "lines")
-    nodes = written(occurrences.groupBy("node").agg(F.min(_place()).alias("first"), F.first("length").alias("length"), *[F.first(c).alias(c) for c in sims])
-                    .withColumnRenamed("sim0", "sim"), "line-nodes")
+    nodes = written(occurrences.groupBy("node").agg(F.min(_place()).alias("first"), F.first("length").alias("length"), *[F.first(c).alias(c) for c in SIMS]), "line-nodes")
     tidy(spark)
-    members = _members(rows, nodes, _candidates(nodes, radius))
+    members = _members(rows, nodes, _candidates(nodes, similarity, radius))
     tidy(spark)
     fuzzy = connected(cells(members, "root", "node", BLOCK).groupBy("cell").applyInPandas(_verified(similarity, radius), "a long, b long"))
     tidy(spark)
@@ -241,29 +326,39 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, radius: int
     return doubled.groupBy("did").agg(F.array_sort(F.collect_set("line")).alias("lines"))
 
 
-def _candidates(nodes: DataFrame, radius: int) -> DataFrame:
+def _candidates(nodes: DataFrame, similarity: float, radius: int) -> DataFrame:
     """node (a SimHash), root: the groups of SimHashes that meet, and SimHashes of several nodes."""
-    per_word = 64 // BITS
-    values = [F.shiftrightunsigned("sim" if w == 0 else f"sim{w}", k * BITS).bitwiseAND(F.lit((1 << BITS) - 1).cast("long"))
-              + F.lit((w * per_word + k) << BITS) for w in range(WORDS) for k in range(per_word)]
-    # The block's number and value, then the length, so that sorting puts lines of like length side by side.
-    met = (nodes.select("sim", "sim1", "length", F.explode(F.array(*values)).alias("value"))
-           .select("sim", "sim1", "value", (F.shiftleft("value", 32) + F.col("length")).alias("block"))
-           .repartition("value").sortWithinPartitions("block").select("sim", "sim1", "block").mapInPandas(_met(radius), "a long, b long"))
-    groups = connected(met)
-    twins = nodes.groupBy("sim").agg(F.count("*").alias("n")).where("n > 1").select(F.col("sim").alias("node"))
+    spark, n = nodes.sparkSession, nodes.count()
+    blocks = blocks_of(n, similarity)
+    step = max(ROUND, ROUND_ROWS // max(n, 1))
+    links = None
+    for first in range(0, len(blocks), step):
+        found = written(_links(nodes, blocks[first:first + step], first, radius), "line-links")
+        links = found if links is None else links.unionAll(found)
+        tidy(spark)
+    groups = connected(links)
+    twins = nodes.groupBy("sim0").agg(F.count("*").alias("n")).where("n > 1").select(F.col("sim0").alias("node"))
     return settled(groups.unionAll(twins.join(groups.select("node"), "node", "left_anti").select("node", F.col("node").alias("root"))))
 
 
+def _links(nodes: DataFrame, blocks: np.ndarray, first: int, radius: int) -> DataFrame:
+    """a, b: SimHashes that meet in some blocks."""
+    rows = nodes.select(*SIMS, "length").mapInPandas(
+        _values(blocks, first), ", ".join(f"{c} long" for c in SIMS) + ", length int, values array<long>").select(*SIMS, "length", F.explode("values").alias("value"))
+    # The block's number and value, then the length, so that sorting puts lines of like length side by side.
+    return (rows.withColumn("block", F.shiftleft("value", 24) + F.least("length", F.lit((1 << 24) - 1)))
+            .repartition("value").sortWithinPartitions("block").select(*SIMS, "block").mapInPandas(_met(radius), "a long, b long"))
+
+
 def _members(rows: DataFrame, nodes: DataFrame, candidates: DataFrame) -> DataFrame:
     """The nodes of candidate groups with their normalised texts, each read from its first occurrence."""
-    wanted = (nodes.join(candidates.withColumnRenamed("node", "sim"), "sim").groupBy("first.did")
-              .agg(F.collect_list(F.struct("node", "sim", "sim1", "root", "first.line")).alias("wanted")))
+    wanted = (nodes.join(candidates.withColumnRenamed("node", "sim0"), "sim0").groupBy("first.did")
+              .agg(F.collect_list(F.struct("node", *SIMS, "root", "first.line")).alias("wanted")))
     found = rows.select("did", "text").join(wanted, "did").dropDuplicates(["did"])
-    return written(found.mapInPandas(_texts, "node long, sim long, sim1 long, root long, text string"), "line-texts")
+    return written(found.mapInPandas(_texts, "node long, " + ", ".join(f"{c} long" for c in SIMS) + ", root long, text string"), "line-texts")
 
 
-def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS, n_lines: str = "n_lines", n_removed: str = "n_removed") -> DataFrame:
+def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, radius: int | None = None, n_lines: str = "n_lines", n_removed: str = "n_removed") -> DataFrame:
     """The documents without lines that repeat a line kept elsewhere, see repeated_lines; all columns stay.
 
     Adds the numbers of lines and of removed lines, in place of columns of these names. A null text stays null.

@@ -86,6 +86,28 @@ def test_lines_in_a_large_group(spark, monkeypatch):
     assert min(r["doc_id"] for r in got) == 0 and len(got) <= 3
 
 
+def test_lines_recall(spark):
+    """Pairs far above the similarity in letters, with many words touched; and pairs with whole words changed close to it."""
+    rng = random.Random(12)
+    base = [words(rng, 20, "abcdefghijklmnopqrst") for _ in range(120)]
+    rows, copies = list(enumerate(base)), {}
+    for k, x in enumerate(base):
+        own = x.split()
+        if k < 60:
+            for j in rng.sample(range(20), 3):
+                own[j] = own[j][:-1] + "z"
+        else:
+            for j in rng.sample(range(20), 3):
+                own[j] = words(rng, 1, "uvwxyz")
+        copies[1000 + k] = lines.similar(x, " ".join(own), 0.8)
+        rows.append((1000 + k, " ".join(own)))
+    gone = {r["doc_id"] for r in lines.dedup_lines(frame(spark, rows)).where("n_removed = 1").select("doc_id").collect()}
+    assert gone <= {k for k, alike in copies.items() if alike}
+    typos, changed = ([k for k, alike in copies.items() if alike and (k < 1060) == few] for few in (True, False))
+    assert len(typos) == 60 and len(gone & set(typos)) >= 57
+    assert len(changed) > 20 and len(gone & set(changed)) >= 0.85 * len(changed)
+
+
 def test_lines_odd(spark, odd, odd_rows, none):
     made = lines.dedup_lines(odd)
     assert made.columns == [*[c for c in odd.columns if c not in ("text", "n_lines")], "text", "n_lines", "n_removed"]
