@@ -9,7 +9,8 @@ MATES of them share a value by chance. Scattered single letters change more bits
 both. Candidate groups are verified on the normalised texts by edit similarity, where a pair that is already connected through
 others is not compared again, and of each connected group the first occurrence stays.
 
-Blocks are worked off in rounds, so that the disk does not hold all of them.
+Values of a block that many nodes share are not compared in one task: their nodes hang to the least of them and meet in the verification,
+which deals a group to cells. Blocks are worked off in rounds, so that the disk does not hold all of them.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ DEVIATIONS = 2.5
 MATES = 64
 ROUND = 8  # blocks in a round, of large tables
 ROUND_ROWS = 3_000_000  # rows in a round, of small tables
+HOT = 4096  # about from this number on, nodes of one value are not compared in one task
+SAMPLE = 64  # one of so many nodes is counted to find such values
 BATCH = 1 << 17  # rows of a task taken at once
 LENGTHS = 0.7  # least ratio of the bytes of two lines compared; looser than SIMILARITY, which counts characters
 PAIRS = 1 << 20  # SimHashes compared at once
@@ -343,11 +346,25 @@ def _candidates(nodes: DataFrame, similarity: float, radius: int) -> DataFrame:
 
 def _links(nodes: DataFrame, blocks: np.ndarray, first: int, radius: int) -> DataFrame:
     """a, b: SimHashes that meet in some blocks."""
-    rows = nodes.select(*SIMS, "length").mapInPandas(
-        _values(blocks, first), ", ".join(f"{c} long" for c in SIMS) + ", length int, values array<long>").select(*SIMS, "length", F.explode("values").alias("value"))
+    def met(of: DataFrame) -> DataFrame:
+        return of.mapInPandas(_values(blocks, first), ", ".join(f"{c} long" for c in SIMS) + ", length int, values array<long>").select(
+            *SIMS, "length", F.explode("values").alias("value"))
+
+    own = nodes.select(*SIMS, "length")
+    # A value of HOT nodes has HOT / SAMPLE in the sample on average; a few more or less are decided either way, with the same pairs found.
+    hot = settled(met(own.where(F.pmod(F.xxhash64("sim0", F.lit(5)), F.lit(SAMPLE)) == 0)).groupBy("value").agg(F.count("*").alias("n"))
+                  .where(F.col("n") * SAMPLE >= HOT).select("value"))
+    some = hot.count()
+    rows = met(own)
+    cold = rows if not some else rows.join(F.broadcast(hot), "value", "left_anti")
     # The block's number and value, then the length, so that sorting puts lines of like length side by side.
-    return (rows.withColumn("block", F.shiftleft("value", 24) + F.least("length", F.lit((1 << 24) - 1)))
+    near = (cold.withColumn("block", F.shiftleft("value", 24) + F.least("length", F.lit((1 << 24) - 1)))
             .repartition("value").sortWithinPartitions("block").select(*SIMS, "block").mapInPandas(_met(radius), "a long, b long"))
+    if not some:
+        return near
+    shared = rows.join(F.broadcast(hot), "value").select("value", F.col("sim0").alias("a"))
+    least = shared.groupBy("value").agg(F.min("a").alias("b"))
+    return near.unionAll(shared.join(F.broadcast(least), "value").select("a", "b").where("a <> b"))
 
 
 def _members(rows: DataFrame, nodes: DataFrame, candidates: DataFrame) -> DataFrame:

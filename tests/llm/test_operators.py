@@ -108,6 +108,19 @@ def test_lines_recall(spark):
     assert len(changed) > 20 and len(gone & set(changed)) >= 0.85 * len(changed)
 
 
+def test_lines_of_one_value(spark, monkeypatch):
+    """Nodes of a value that many share hang to one of them instead of being compared with each other in one task."""
+    monkeypatch.setattr(lines, "HOT", 20)
+    monkeypatch.setattr(lines, "SAMPLE", 1)
+    rows = [(7 if k < 30 else 1 << k - 30, 0, 0, 0, 100) for k in range(40)]
+    nodes = spark.createDataFrame([(k << 40 | r[0], *r[1:]) for k, r in enumerate(rows)], "sim0 long, sim1 long, sim2 long, sim3 long, length int")
+    blocks = np.array([[0, 1, 2]])
+    links = {(r["a"], r["b"]) for r in lines._links(nodes, blocks, 0, -1).collect()}
+    assert links == {(k << 40 | 7, 7) for k in range(1, 30)}  # the radius lets none pass, so no link is from a comparison
+    monkeypatch.setattr(lines, "HOT", 1000)
+    assert lines._links(nodes, blocks, 0, -1).count() == 0
+
+
 def test_lines_odd(spark, odd, odd_rows, none):
     made = lines.dedup_lines(odd)
     assert made.columns == [*[c for c in odd.columns if c not in ("text", "n_lines")], "text", "n_lines", "n_removed"]
