@@ -118,3 +118,11 @@ def test_median_distances_with_many_equal_rows(spark, cell_rows):
     np.fill_diagonal(d, np.inf)
     assert s == pytest.approx(np.median(brute(synth, real, False)))
     assert r == pytest.approx(np.median(d.min(axis=1)))
+
+
+def test_distance_asks_all_rows(spark):
+    """Only the median over all 4001 synthetic rows is exact; a sample of 2000 has another."""
+    real = spark.range(11).selectExpr("id", "cast(id as double) as v")
+    synth = spark.range(4001).selectExpr("id", "100 + cast(id as double) as v")
+    got = memorisation.distance_to_closest(real, synth, {"id": "id", "v": "float"}, ["id"]).first()
+    assert got["synth_median_dist"] == pytest.approx((100 + 2000 - 10) / 10 ** 0.5, abs=1e-3)
