@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from doppel.functions.columns import IDENTITY_TYPES, col, numeric
 from doppel.functions.normal import round_even
 from doppel.functions.rng import uniform
-from doppel.operators.order_stats import OrderPlan, bucket_of, grid_quantiles, medians, melt, plan_order, running_sums
+from doppel.operators.order_stats import ROWS_PER_BUCKET, OrderPlan, bucket_of, melt, plan_order, running_sums
 from doppel.operators.profile import modelling_roles
+from doppel.operators.shaping import least_draws
 
 BINS = 20
 TOP_SHARES = 15
@@ -60,30 +61,90 @@ def _pooled(both: DataFrame, names: list[str], plan: OrderPlan) -> DataFrame:
     return running_sums(_counts(both, names), ["column"], ["value"], {"cr": "nr", "cs": "ns"}, bucket, few_keys=True)
 
 
-def _one_side(cdf: DataFrame, side: str) -> DataFrame:
-    """The pooled frame seen from one side, as a cumulative histogram."""
-    return cdf.filter(F.col(f"n{side}") > 0).select(
-        "column", "value", F.col(f"n{side}").alias("n"), F.col(f"c{side}").alias("cum"),
-        F.col(f"c{side}_total").alias("cum_total"), F.greatest("cr_total", "cs_total").alias("m"),
-    )
+def _ks() -> Column:
+    return F.expr("max(if(cr_total = 0 or cs_total = 0, 1D, abs(cr / nullif(cr_total, 0) - cs / nullif(cs_total, 0))))")
 
 
 def ks_from(cdf: DataFrame) -> DataFrame:
     """column, ks: the largest gap between the two empirical distributions (1 when a side is empty)."""
-    gap = F.abs(F.col("cr") / F.col("cr_total") - F.col("cs") / F.col("cs_total"))
-    empty = (F.col("cr_total") == 0) | (F.col("cs_total") == 0)
-    return cdf.groupBy("column").agg(F.max(F.when(empty, F.lit(1.0)).otherwise(gap)).alias("ks"))
+    return cdf.groupBy("column").agg(_ks().alias("ks"))
+
+
+def summary_from(cdf: DataFrame) -> DataFrame:
+    """column, ks, inside (share of synthetic rows within the real range), r_median, s_median: one aggregation of the pooled frame."""
+    middle = []
+    for s in "rs":
+        n, c, last = f"n{s}", f"c{s}", f"(c{s}_total - 1)"
+        # The values that hold the positions around the middle.
+        ends = [f"max(case when {c} - {n} <= {p} and {p} < {c} then value end)" for p in (f"{last} div 2", f"({last} + 1) div 2")]
+        middle.append(F.expr(f"{ends[0]} + ({ends[1]} - {ends[0]}) * 0.5D").alias(f"{s}_median"))
+    inside = ("(max(case when nr > 0 and cr = cr_total then cs end) - max(case when nr > 0 and cr = nr then cs - ns end)) "
+              "/ nullif(max(cs_total), 0)")
+    return cdf.groupBy("column").agg(_ks().alias("ks"), F.expr(inside).alias("inside"), *middle)
 
 
 def ks_statistic(real: DataFrame, synth: DataFrame, names: list[str], buckets: int | None = None) -> DataFrame:
     return ks_from(pooled_cdf(real, synth, names, buckets))
 
 
-def wasserstein_from(cdf: DataFrame) -> DataFrame:
-    """column, wasserstein: mean gap of the quantile functions on a grid as long as the longer side, over the real range."""
-    keys = ["column", "m"]
-    grids = [grid_quantiles(_one_side(cdf, s), keys, F.col("m")).withColumnRenamed("q", f"q{s}") for s in "rs"]
-    gaps = grids[0].join(grids[1], [*keys, "i"]).groupBy("column").agg(F.avg(F.abs(F.col("qr") - F.col("qs"))).alias("gap"))
+def wasserstein_from(cdf: DataFrame, bucket_rows: int = ROWS_PER_BUCKET) -> DataFrame:
+    """column, wasserstein: mean gap of the quantile functions on a grid as long as the longer side, over the real range.
+
+    The grid is never made. With m points it meets each row of the longer side once, whose quantiles are steps; those of the shorter
+    side, n rows, are steps and straight lines between them. Both are cut at the points where either begins a piece, and
+    the gap summed over each run of points in closed form. Pieces are as many as distinct values, and are
+    put in order within ranges of grid points.
+    """
+    def at(position: str, up: bool = False) -> str:
+        """The grid point at a position of the shorter side, rounded down or up."""
+        product = f"cast({position} as decimal(19,0)) * cast(m1 as decimal(19,0))"
+        return f"cast(({product} + {'n1 - 1' if up else '0'}) div greatest(n1, 1) as bigint)"
+
+    long_is_real = "cr_total >= cs_total"
+    sides = cdf.filter("cr_total > 0 and cs_total > 0").selectExpr(
+        "column", "value", f"if({long_is_real}, nr, ns) as ln", f"if({long_is_real}, cr, cs) as lc", f"if({long_is_real}, ns, nr) as sn",
+        f"if({long_is_real}, cs, cr) as sc", "greatest(cr_total, cs_total) - 1 as m1", "least(cr_total, cs_total) - 1 as n1")
+    low, high = "(sc - sn)", "(sc - 1)"
+    none = {"lv": "double", "cv": "double", "gl": "double", "gr": "double", "gh": "bigint"}
+
+    def piece(kind: str, there: str, first: str, last: str, **fields: str) -> str:
+        own = ", ".join(f"{fields.get(f, f'cast(null as {t})')} as {f}" for f, t in none.items())
+        return f"struct({there} and {first} <= {last} as there, '{kind}' as kind, {first} as i, {last} as e, {own})"
+
+    def gap(h: str, there: str, **fields: str) -> str:
+        return piece("s", there, f"{at(h)} + 1", f"{at(f'({h} + 1)', True)} - 1", gh=h, **fields)
+
+    one = "n1 = 0"
+    pieces = sides.selectExpr("column", "m1", "n1", "inline(array(" + ", ".join([
+        piece("l", "ln > 0", "lc - ln", "lc - 1", lv="value"),
+        piece("s", "sn > 0", f"if({one}, 0L, {at(low, True)})", f"if({one}, m1, {at(high)})", cv="value"),
+        gap(high, f"sn > 0 and {high} < n1", gl="value"), gap(f"({low} - 1)", f"sn > 0 and {low} > 0", gr="value"),
+    ]) + "))").filter("there")
+    starts = pieces.groupBy("column", "i").agg(
+        F.max("m1").alias("m1"), F.max("n1").alias("n1"), F.max(F.when(F.col("kind") == "l", F.struct("e", "lv"))).alias("l"),
+        *[F.max(F.when(F.col("kind") == "s", F.col(f))).alias(f"s_{f}") for f in ("e", "cv", "gl", "gr", "gh")])
+    starts = starts.select("column", "i", "m1", "n1", "l", F.when(F.col("s_e").isNotNull(), F.struct(
+        F.col("s_e").alias("e"), F.col("s_cv").alias("cv"), F.col("s_gl").alias("gl"), F.col("s_gr").alias("gr"), F.col("s_gh").alias("gh"))).alias("s"),
+        F.expr(f"i div {bucket_rows}").alias("b"))
+    # Each point where a piece begins gets the piece of the other kind that holds there: the last before it, in its bucket or an earlier one.
+    before = Window.partitionBy("column").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    carry = starts.groupBy("column", "b").agg(*[F.max_by(k, F.when(F.col(k).isNotNull(), F.col("i"))).alias(k) for k in "ls"])
+    carry = carry.select("column", "b", *[F.last(k, ignorenulls=True).over(before).alias(f"{k}0") for k in "ls"])
+    inside = Window.partitionBy("column", "b").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = starts.select("column", "b", "i", "m1", "n1", *[F.last(k, ignorenulls=True).over(inside).alias(k) for k in "ls"])
+    held = held.join(carry, ["column", "b"]).select("column", "i", "m1", "n1", *[F.coalesce(k, f"{k}0").alias(k) for k in "ls"])
+
+    def gap_at(i: str) -> str:
+        share = f"cast(cast({i} as decimal(19,0)) * cast(n1 as decimal(19,0)) - cast(s.gh as decimal(19,0)) * cast(m1 as decimal(19,0)) as double) / greatest(m1, 1)"
+        return f"coalesce(s.cv, s.gl + (s.gr - s.gl) * ({share})) - l.lv"
+
+    runs = held.selectExpr("column", "m1", "i", "least(l.e, s.e) as e", "l", "s", "n1").selectExpr(
+        "column", "m1", "e - i + 1 as c", f"{gap_at('i')} as a", f"{gap_at('e')} as z")
+    # Where the gap changes sign, k points lie before the change.
+    step = "((z - a) / greatest(c - 1, 1))"
+    runs = runs.selectExpr("*", f"if(a * z < 0, greatest(1L, least(c - 1, cast(floor(-a / nullif({step}, 0D)) as bigint) + 1)), c) as k")
+    total = f"if(k = c, abs(a + z) * c, abs(2 * a + {step} * (k - 1)) * k + abs(a + {step} * k + z) * (c - k)) / 2"
+    gaps = runs.groupBy("column").agg((F.sum(F.expr(total)) / (F.max("m1") + 1)).alias("gap"))
     spans = cdf.filter("nr > 0").groupBy("column").agg((F.max("value") - F.min("value")).alias("span"))
     return gaps.join(spans, "column").select(
         "column", F.when(F.col("span") > 0, F.col("gap") / F.col("span")).otherwise(F.col("gap")).alias("wasserstein")
@@ -232,14 +293,7 @@ def shape_and_validity(real: DataFrame, synth: DataFrame, types: dict[str, str],
         both = _numbers(real, synth, numbers)
         cdf = _pooled(both, numbers, plan_order(both, _values(numbers), buckets))
         stats = side_stats(both, numbers)
-        limits = F.broadcast(stats.select("column", "r_min", "r_max"))
-        inside = cdf.filter("ns > 0").join(limits, "column").groupBy("column").agg(
-            (F.sum(F.when(F.col("value").between(F.col("r_min"), F.col("r_max")), F.col("ns")).otherwise(0))
-             / F.max("cs_total")).alias("inside")
-        )
-        middle = [medians(_one_side(cdf, s), ["column"]).withColumnRenamed("median", f"{s}_median") for s in "rs"]
-        joined = stats.join(ks_from(cdf), "column", "left").join(inside, "column", "left")
-        joined = joined.join(middle[0], "column", "left").join(middle[1], "column", "left")
+        joined = stats.join(summary_from(cdf), "column", "left")
         ks = F.coalesce(F.col("ks"), F.lit(1.0))
         ok = F.coalesce(F.col("inside"), F.lit(0.0))
         parts.append(joined.select(
@@ -360,7 +414,7 @@ def scatter_sample(real: DataFrame, synth: DataFrame, real_pairs: DataFrame, syn
         for side, df, keys in (("real", real, ids[0]), ("synthetic", synth, ids[1])):
             rows = df.select(numeric(df, a).alias("x"), numeric(df, b).alias("y"),
                              uniform(seed, f"scatter:{a}:{b}", *[col(k) for k in keys]).alias("_u"))
-            some = rows.filter("x is not null and y is not null").orderBy("_u", "x", "y").limit(points)
+            some = least_draws(rows.filter("x is not null and y is not null"), "_u", points, ["x", "y"])
             parts.append(some.select(
                 F.lit(a).alias("x_col"), F.lit(b).alias("y_col"), F.lit(side).alias("side"),
                 F.round(F.lit(float(r["value"])), 3).alias("real_association"),

@@ -17,6 +17,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from doppel.checkpoint import settled
 from doppel.functions.rng import array_literal, interval_index
 
 ROWS_PER_BUCKET = 2_000_000
@@ -24,6 +25,7 @@ MAX_BUCKETS = 20_000
 BROADCAST_VALUES = 200_000  # distinct values whose rank table is broadcast
 HOT_SHARE = 1000            # a value is hot above 1/HOT_SHARE of the rows
 EXPLODE_CHUNK = 65_536
+MELTED_FROM = 3             # columns of many values whose ranks are looked up together
 
 
 @dataclass
@@ -34,6 +36,7 @@ class OrderPlan:
     bounds: dict[str, list[float]] = field(default_factory=dict)
     distinct: dict[str, int] = field(default_factory=dict)
     nulls: dict[str, int] = field(default_factory=dict)
+    table: DataFrame | None = None  # a settled rank_table() of the columns
 
     def only(self, name: str) -> OrderPlan:
         """The plan of one column."""
@@ -162,16 +165,17 @@ def rank_tables(df: DataFrame, columns: dict[str, Column], plan: OrderPlan) -> d
 
 
 def attach_ranks(df: DataFrame, columns: dict[str, str], tables: dict[str, DataFrame], plan: OrderPlan,
-                 fields: list[str]) -> DataFrame:
+                 fields: list[str], prefix: str = "") -> DataFrame:
     """Left-join rank table fields to rows: {name of the rank table: value column of df}.
 
-    The new columns are `<field>_<position>`. A table of few distinct values is
+    The new columns are `<field>_<prefix><position>`. A table of few distinct values is
     broadcast. A long one is shuffled; the values that hold more than 1/1000 of
     the rows (at most 1000 of them) are broadcast on their own, and their rows
     are spread by a salt that matches nothing, so no task gets a hot value.
     """
     out = df
-    for i, (name, value) in enumerate(columns.items()):
+    for at, (name, value) in enumerate(columns.items()):
+        i = f"{prefix}{at}"
         mine = tables[name].select(
             F.col("value").alias(f"_v{i}"), *[F.col(f).alias(f"{f}_{i}") for f in fields], F.col("n").alias(f"_n{i}")
         )
@@ -198,6 +202,50 @@ def attach_ranks(df: DataFrame, columns: dict[str, str], tables: dict[str, DataF
     return out
 
 
+def rank_table(df: DataFrame, columns: dict[str, Column], plan: OrderPlan, given: dict[str, Column] | None = None) -> DataFrame:
+    """Ranks of all columns in one frame: column, value, n, below, cum, cum_total, avg_rank.
+
+    For each entry {name: condition} of `given` there are also n_<name> and avg_rank_<name>, which count only rows where the condition
+    holds. Whatever the number of columns, rows are counted in one shuffle of distinct values.
+    """
+    given = given or {}
+    long = melt(df, columns, {f"_g{i}": c.cast("int") for i, c in enumerate(given.values())})
+    counts = long.groupBy("column", "value").agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(f"_g{i}").cast("bigint").alias(f"n_{g}") for i, g in enumerate(given)])
+    cum = cumulative_histogram(counts, plan, ["column"], {"cum": "n"} | {f"cum_{g}": f"n_{g}" for g in given})
+    middle = [(F.col(f"cum{g}") - (F.col(f"n{g}") - 1) / F.lit(2.0)).alias(f"avg_rank{g}") for g in ["", *[f"_{g}" for g in given]]]
+    return cum.select("column", "value", "n", (F.col("cum") - F.col("n")).alias("below"), "cum", "cum_total", *[f"n_{g}" for g in given], *middle)
+
+
+def attach_rank_table(df: DataFrame, columns: dict[str, str], table: DataFrame, plan: OrderPlan, fields: list[str],
+                      melted_from: int = MELTED_FROM) -> DataFrame:
+    """Fields of rank_table() for every row: {column of the table: value column of df} gives `<field>_<position>`.
+
+    Parts of few distinct values are broadcast. `melted_from` or more columns of many values are looked up together: their
+    values in one shuffle, the results back by row in another. The table is read once for each column, so settle it.
+    """
+    long = [c for c in columns if plan.distinct[c] > BROADCAST_VALUES]
+    parts = {c: table.filter(F.col("column") == c) for c in columns}
+    if len(long) < melted_from:
+        return attach_ranks(df, columns, parts, plan, fields)
+    short = {c: v for c, v in columns.items() if c not in long}
+    at = {c: i for i, c in enumerate(columns)}
+    rows = settled(df.withColumn("_row", F.monotonically_increasing_id()))
+    values = melt(rows, {c: F.col(columns[c]) for c in long}, {"_row": F.col("_row")})
+    known = table.filter(F.col("column").isin(long)).select("column", "value", F.struct(*fields).alias("_f"), "n")
+    # At most HOT_SHARE values a column hold that many rows.
+    hot = known.filter(F.col("n") * F.lit(HOT_SHARE) >= F.lit(plan.rows)).select("column", "value", F.col("_f").alias("_h"))
+    marked = values.join(F.broadcast(hot), ["column", "value"], "left")
+    cold = marked.filter("_h is null").drop("_h").join(known.drop("n"), ["column", "value"])
+    found = marked.filter("_h is not null").withColumnRenamed("_h", "_f").unionByName(cold).groupBy("_row").agg(
+        *[F.max(F.when(F.col("column") == c, F.col("_f"))).alias(f"_f{at[c]}") for c in long])
+    out = rows.join(found, "_row", "left").select(*df.columns, *[F.col(f"_f{at[c]}.{f}").alias(f"{f}_{at[c]}") for c in long for f in fields])
+    if short:
+        renamed = attach_ranks(out, short, {c: parts[c] for c in short}, plan, fields, "s")
+        out = renamed.select(*out.columns, *[F.col(f"{f}_s{i}").alias(f"{f}_{at[c]}") for i, c in enumerate(short) for f in fields])
+    return out
+
+
 def ordinal_ranks(df: DataFrame, value: str, tie: Column, plan: OrderPlan, name: str, unique: list[str]) -> DataFrame:
     """1-based ordinal rank of every row, ties ordered by `tie` in (0, 1) and then by the unique columns.
 

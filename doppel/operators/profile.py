@@ -275,14 +275,14 @@ def _iso(value) -> str | None:
     return value.isoformat() if value is not None else None
 
 
-def profile_schema(df: DataFrame, approximate: bool = False) -> list[dict]:
-    """The semantic schema: one dict per column, as the generators take it."""
+def profile_schema(df: DataFrame, approximate: bool = False, top: int = TOP_CATEGORIES) -> list[dict]:
+    """The semantic schema: one dict per column, as the generators take it. Categorical columns list their `top` categories."""
     facts = measure(df, approximate)
     types = _types(df, facts)
     labels = [c for c in df.columns if types[c] == "categorical" and facts[c]["n"]]
     shares: dict[str, dict[str, float]] = {c: {} for c in labels}
     if labels:
-        for r in top_categories(df, labels).orderBy("column_name", "rank").collect():
+        for r in top_categories(df, labels, top).orderBy("column_name", "rank").collect():
             shares[r["column_name"]][r["category"]] = r["share"]
     schema = []
     for c in df.columns:

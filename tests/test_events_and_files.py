@@ -112,3 +112,30 @@ def test_search_and_pages(spark):
     assert shaping.cap_sample(df, ["id"], max_rows=10, max_columns=1).count() == 10
     few = [tuple(r) for r in shaping.cap_sample(df.repartition(9), ["id"], max_rows=10).collect()]
     assert few == [tuple(r) for r in shaping.cap_sample(df.coalesce(1), ["id"], max_rows=10).collect()]
+
+
+def test_sample_by_threshold(spark):
+    """The k least draws, also where draws are equal and where every bin is cut again."""
+    df = spark.range(3000).selectExpr("id", "cast(pmod(xxhash64(id), 1000003) as double) / 1000003 as u").repartition(5)
+    want = [r["id"] for r in df.orderBy("u", "id").limit(700).collect()]
+    for small, bins in ((10_000, 4096), (3, 4), (0, 2)):
+        got = [r["id"] for r in shaping.least_draws(df, "u", 700, ["id"], small, bins).collect()]
+        assert sorted(got) == sorted(want)
+    same = spark.range(50).selectExpr("id", "if(id < 40, 0.25D, 0.5D) as u")
+    assert shaping.least_draws(same, "u", 30, ["id"], 3, 4).count() == 30
+    assert shaping.least_draws(same, "u", 45, ["id"], 3, 4).filter("u < 0.3").count() == 40
+    assert shaping.least_draws(same, "u", 99, ["id"], 3, 4).count() == 50 and shaping.least_draws(same, "u", 0, ["id"]).count() == 0
+
+
+def test_pages_by_rank(spark):
+    """Deep pages of any key, with nulls, ties and hot values, equal the sorted rows."""
+    rows = [(None if i % 50 == 0 else "hot" if i % 3 == 0 else f"k{i % 97}", float("nan") if i % 41 == 0 else float(i % 7), i) for i in range(2000)]
+    df = spark.createDataFrame(rows, "a string, b double, id long").repartition(6)
+    want = [r["id"] for r in df.orderBy("a", "b", "id").collect()]
+    for page, size in ((1, 7), (40, 13), (150, 13), (9999, 13), (3, 600)):
+        got = [r["id"] for r in shaping.page_rows(df, ["a", "b", "id"], page, size, small=20).collect()]
+        at = (min(page, -(-2000 // size)) - 1) * size
+        assert got == want[at:at + size]
+    hits = [r["id"] for r in df.filter("a = 'hot'").orderBy("id").collect()]
+    assert [r["id"] for r in shaping.page_rows(df, ["id"], 20, 10, "HOT", small=20).collect()] == hits[190:200]
+    assert shaping.page_rows(df, ["id"], 5, 10, "nothing", small=20).count() == 0

@@ -96,3 +96,57 @@ def test_wasserstein_and_ks_match_numpy(spark, monkeypatch, chunk):
     every = np.sort(np.concatenate([a, b]))
     fa, fb = (np.searchsorted(np.sort(x), every, side="right") / len(x) for x in (a, b))
     assert ks == pytest.approx(np.max(np.abs(fa - fb)))
+
+
+@pytest.mark.parametrize("na, nb", [(1, 1), (1, 5), (7, 7), (50, 3), (40, 41), (13, 60), (200, 199)])
+def test_wasserstein_closed_form(spark, na, nb):
+    """Sums over runs of grid points equal the grid, for any sizes, ties and bucket lengths."""
+    for seed in range(2):
+        rng = np.random.default_rng(seed)
+        a, b = np.round(rng.normal(0, 3, na), seed), np.round(rng.normal(1, 2, nb), seed)
+        cdf = fidelity.pooled_cdf(frame(spark, a), frame(spark, b), ["v"])
+        n = max(na, nb)
+        qa, qb = (np.interp(np.linspace(0, 1, n), np.linspace(0, 1, len(x)), np.sort(x)) if len(x) > 1 else np.full(n, x[0]) for x in (a, b))
+        want = np.mean(np.abs(qa - qb)) / (np.ptp(a) or 1)
+        for bucket in (2_000_000, 3):
+            assert fidelity.wasserstein_from(cdf, bucket).first()["wasserstein"] == pytest.approx(want, abs=1e-9)
+
+
+def test_summary_of_pooled_frame(spark):
+    a, b = hot(301), hot(200, 5) + 0.5
+    got = fidelity.summary_from(fidelity.pooled_cdf(frame(spark, a), frame(spark, b), ["v"], 8)).first()
+    assert got["r_median"] == pytest.approx(np.median(a)) and got["s_median"] == pytest.approx(np.median(b))
+    assert got["inside"] == pytest.approx(np.mean((b >= a.min()) & (b <= a.max())))
+
+
+@pytest.mark.parametrize("melted", [1, 9])
+def test_rank_table_of_all_columns(spark, monkeypatch, melted):
+    """Ranks of long columns looked up together, in rows with a null in another column and among all rows."""
+    monkeypatch.setattr(order, "BROADCAST_VALUES", 50)
+    rng = np.random.default_rng(3)
+    x = pd.DataFrame({"a": rng.integers(0, 400, 900) * 1.0, "b": np.where(rng.random(900) < 0.3, np.nan, rng.normal(0, 1, 900)),
+                      "c": rng.integers(0, 5, 900) * 1.0, "id": range(900)})
+    x.loc[:300, "a"] = 7.0
+    df = spark.createDataFrame(x).withColumn("b", F.when(~F.isnan("b"), F.col("b"))).repartition(4)
+    values = {c: F.col(c) for c in "abc"}
+    plan = order.plan_order(df, values, 6)
+    table = order.rank_table(df, values, plan, {"1": F.col("b").isNotNull()}).cache()
+    got = order.attach_rank_table(df, {c: c for c in "abc"}, table, plan, ["avg_rank", "avg_rank_1", "n"], melted).toPandas().sort_values("id")
+    for i, c in enumerate("abc"):
+        assert np.allclose(got[f"avg_rank_{i}"], x[c].rank(), equal_nan=True)
+        there = x["b"].notna()
+        assert np.allclose(got[f"avg_rank_1_{i}"][there.to_numpy()], x[c][there].rank())
+    assert len(got) == 900
+
+
+def test_exchanges_do_not_grow_with_columns(spark, monkeypatch):
+    from doppel.operators import association
+    monkeypatch.setattr(order, "BROADCAST_VALUES", 50)
+    df = spark.range(500).selectExpr("id", *[f"cast(pmod(xxhash64(id, {k}), 300) as double) as v{k}" for k in range(8)])
+
+    def shuffles(k):
+        made = association.spearman_pairs(df, [f"v{i}" for i in range(k)])
+        plan = made._jdf.queryExecution().sparkPlan().toString() + made._jdf.queryExecution().executedPlan().toString()
+        return plan.count("Exchange hashpartitioning")
+
+    assert shuffles(8) == shuffles(4)

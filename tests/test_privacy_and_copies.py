@@ -126,3 +126,48 @@ def test_distance_asks_all_rows(spark):
     synth = spark.range(4001).selectExpr("id", "100 + cast(id as double) as v")
     got = memorisation.distance_to_closest(real, synth, {"id": "id", "v": "float"}, ["id"]).first()
     assert got["synth_median_dist"] == pytest.approx((100 + 2000 - 10) / 10 ** 0.5, abs=1e-3)
+
+
+@pytest.mark.parametrize("limits", [{"cell_rows": 9}, {"cell_rows": 30, "centres": 4, "chunk_rows": 7}, {}])
+def test_nearest_with_labels_is_exact(spark, limits):
+    """Numbers and labels of many values, cells in slices, queries in chunks: equal to all pairs over one-hot vectors."""
+    rng = np.random.default_rng(6)
+    x, a = np.round(rng.normal(0, 1, (400, 2)), 2), np.c_[rng.integers(0, 60, 400), rng.integers(0, 2, 400)]
+    x[:150], a[:150, 0] = x[0], np.arange(150)  # alike but for a label
+    x, at = np.unique(np.c_[x, a], axis=0, return_index=True)[0], None
+    x, a = x[:, :2], x[:, 2:].astype(int)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2) + 2.0 * (a[:, None] != a[None]).sum(axis=2))
+    rows = [(str(i), [float(v) for v in x[i]], [int(v) for v in a[i]]) for i in range(len(x))]
+    table = spark.createDataFrame(rows, "id string, features array<double>, labels array<bigint>").repartition(3)
+    got = {r["id"]: r["distance"] for r in nearest.nearest_distance(table, table, True, **limits).collect()}
+    np.fill_diagonal(d, np.inf)
+    assert [got[str(i)] for i in range(len(x))] == pytest.approx(d.min(axis=1).tolist())
+    got = {r["id"]: r["distance"] for r in nearest.nearest_distance(table.where("cast(id as int) % 3 = 0"), table.where("cast(id as int) % 3 > 0"), **limits).collect()}
+    at = np.arange(len(x)) % 3 == 0
+    assert [got[str(i)] for i in np.flatnonzero(at)] == pytest.approx(d[at][:, ~at].min(axis=1).tolist())
+
+
+def test_nearest_without_points(spark):
+    some = spark.createDataFrame([("a", [1.0])], "id string, features array<double>")
+    assert nearest.nearest_distance(some, some.limit(0)).first()["distance"] is None
+    assert nearest.nearest_distance(some.limit(0), some).count() == 0
+    assert nearest.nearest_distance(some, some, True).first()["distance"] is None
+
+
+def test_visits_are_few_where_rows_lie_close(spark):
+    """Rounds visit nearest cells first: on clustered vectors a query sees a small part of the cells."""
+    rng = np.random.default_rng(2)
+    middle = rng.normal(0, 10, (40, 16))
+    x = middle[rng.integers(0, 40, 4000)] + rng.normal(0, 0.3, (4000, 16))
+    table = spark.createDataFrame([(str(i), [float(v) for v in r]) for i, r in enumerate(x)], "id string, features array<double>")
+    visits = []
+    nearest.nearest_distance(table, table, True, cell_rows=20, visits=visits).count()
+    assert sum(visits) < 20 * len(x)  # of 200 cells
+
+
+def test_far_labels_are_seen(spark):
+    """Rows that differ only in a rare label are not the same point."""
+    real = spark.range(60).selectExpr("id", "cast(id as string) as kind", "1D as v")
+    synth = spark.range(60).selectExpr("id", "concat('x', id) as kind", "1D as v")
+    got = memorisation.distance_to_closest(real, synth, {"id": "id", "kind": "categorical", "v": "float"}).first()
+    assert got["synth_median_dist"] == pytest.approx(2 ** 0.5, abs=1e-4) and got["real_median_dist"] == pytest.approx(2 ** 0.5, abs=1e-4)
