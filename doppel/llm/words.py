@@ -35,6 +35,17 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+class Spans:
+    """Hashes of spans of bytes, from one running sum over all of them."""
+
+    def __init__(self, data: np.ndarray):
+        self.sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_BYTE[data] * _power(_BASE, len(data)), out=self.sums[1:])
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix((self.sums[ends] - self.sums[starts]) * _power(_INVERSE, len(self.sums))[starts])
+
+
 class Words:
     """The words of some texts: `hashes` back to back, `counts` by text, `starts` and `ends` in `raw`, the joined bytes."""
 
@@ -48,9 +59,7 @@ class Words:
         self.starts, self.ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
         if len(self.ends) > len(self.starts):
             self.ends = self.ends[-len(self.starts):] if len(self.starts) else self.ends[:0]
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE[data] * _power(_BASE, len(data)), out=sums[1:])
-        self.hashes = mix((sums[self.ends] - sums[self.starts]) * _power(_INVERSE, len(data))[self.starts])
+        self.hashes = Spans(data)(self.starts, self.ends)
         size = np.fromiter(map(len, parts), np.int64, len(parts))
         bounds = np.concatenate([[0], np.cumsum(size + 1)])
         self.counts = np.diff(np.searchsorted(self.starts, bounds))
