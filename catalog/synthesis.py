@@ -53,10 +53,8 @@ def categories_sql(src: str, labels: list[str], numbers: list[str]) -> str:
               with g as (select {c}::varchar as category, count(*) as n, ({mean}) / {len(numbers)} as score
                          from {src} t, (select {', '.join(f'avg({x}) as m_{x}, stddev_samp({x}) as s_{x}' for x in numbers)}
                                      from {src}) group by 1),
-              r as (select *, row_number() over (order by n desc, category) as r from g),
-              t as (select sum(n)::double as total, sum(case when r > 50 then n else 0 end)::bigint as rest from r)
-              select category, n, score, total from r, t where r <= 50
-              union all select '__Other__', rest, null, total from t where rest > 0)
+              t as (select sum(n)::double as total from g)
+              select category, n, score, total from g, t)
             window w as (order by score is null, score, category)""")
     return " union all ".join(parts)
 
