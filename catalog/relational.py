@@ -126,6 +126,20 @@ def model(spark, d):
     return relational.learn_relational(customers(spark, d), orders(spark, d), items(spark, d))
 
 
+def partial_model(spark, d):
+    """Learned from tables that hold little more than their keys."""
+    return relational.learn_relational(customers(spark, d).select("customer_id"), orders(spark, d).select("order_id", "customer_id"),
+                                       items(spark, d).select("order_id"))
+
+
+def partial_rows(spark, d):
+    """Rows drawn from the model of partial tables, by the quantities, prices and categories it assumes: one row with counts."""
+    made = relational.generate_learned(ids(spark, d), partial_model(spark, d), SEED)["order_items"]
+    return made.agg(F.min("quantity").alias("least"), F.max("quantity").alias("most"),
+                    F.count_if(~F.col("unit_price").between(10, 100)).alias("odd_prices"),
+                    F.count_if(F.col("product_name") != F.concat("category", F.lit(" Product"))).alias("odd_names"))
+
+
 def ids(spark, d):
     return wide(spark, d, "customer").select((F.col("c_custkey") + 1).alias("id"))
 
@@ -223,6 +237,8 @@ QUERIES = {
     "price_quantiles": lambda sp, d: relational.price_quantiles(items(sp, d), buckets=8).withColumn("q", F.round("q", 6)),
     "product_positions": lambda sp, d: relational.product_positions(items(sp, d)),
     "learn_relational": lambda sp, d: relational.model_summary(model(sp, d)),
+    "learn_relational_partial": lambda sp, d: relational.model_summary(partial_model(sp, d)),
+    "generate_relational_partial": partial_rows,
     "generate_customers": made_customers,
     "expand_children": children,
     "generate_items": made_items,
@@ -246,6 +262,9 @@ ORACLES = {
     "learn_relational": f"""select 'orders_per_customer' as metric, * from ({stats_sql(counts_of(ORDERS, 'customer_id'), 'k')})
         union all select 'items_per_order', * from ({stats_sql(counts_of(ITEMS, 'order_id'), 'k')})
         union all select 'quantity', * from ({stats_sql(ITEMS, 'quantity')})""",
+    "learn_relational_partial": f"""select 'orders_per_customer' as metric, * from ({stats_sql(counts_of(ORDERS, 'customer_id'), 'k')})
+        union all select 'items_per_order', * from ({stats_sql(counts_of(ITEMS, 'order_id'), 'k')})
+        union all select 'quantity', * from ({stats_sql('(select unnest([1, 2]) as quantity)', 'quantity')})""",
     "generate_customers": f"select * from {CUSTOMER_GEN}",
     "expand_children": """select upto - k + unnest(range(1, k + 1)) as child_id, c_custkey, unnest(range(1, k + 1)) as position
         from (select c_custkey, c_custkey % 7 as k, sum(c_custkey % 7) over (order by c_custkey)::bigint as upto from customer)""",

@@ -64,6 +64,29 @@ def json_wrapped(spark, d):
     return readers.read_json_records(spark, path, lines=True)
 
 
+def documents_of(rows, key, struct, before: str, after: str, path: str) -> None:
+    """Text files of a JSON document each, over several lines, with the rows of 200 keys."""
+    made = rows.withColumn("doc", F.floor(F.col(key) / 200)).groupBy("doc").agg(F.array_sort(F.collect_list(F.to_json(struct))).alias("r"))
+    text = F.concat(F.lit(before), F.array_join("r", ",\n"), F.lit(after)).alias("value")
+    made.select("doc", text).repartition("doc").write.partitionBy("doc").text(path)
+
+
+def json_array(spark, d):
+    """Files that are an array of objects with a nested object."""
+    path = folder(spark)
+    row = F.struct(F.col("c_custkey").alias("id"), F.struct("c_mktsegment", "c_nationkey").alias("at"))
+    documents_of(table(spark, d, "customer"), "c_custkey", row, "[\n", "\n]", path)
+    return readers.read_json_records(spark, path).select("id", F.col("`at.c_mktsegment`").alias("segment"), F.col("`at.c_nationkey`").alias("nation"))
+
+
+def json_object(spark, d):
+    """Files that are one object around the records."""
+    path = folder(spark)
+    row = F.struct("s_suppkey", "s_name", F.struct("s_nationkey").alias("home"))
+    documents_of(table(spark, d, "supplier"), "s_suppkey", row, '{"status": "ok",\n"data": [\n', "\n]}", path)
+    return readers.read_json_records(spark, path).select("s_suppkey", "s_name", F.col("`home.s_nationkey`").alias("nation"))
+
+
 def json_column(spark, d):
     return readers.parse_json_column(table(spark, d, "events").select("event_id", "props"), "props", "k bigint").select(
         "event_id", F.col("`props.k`").alias("k"))
@@ -131,6 +154,8 @@ QUERIES = {
     "read_encoding": latin_copy,
     "read_json_records": json_copy,
     "read_json_wrapped": json_wrapped,
+    "read_json_array": json_array,
+    "read_json_object": json_object,
     "parse_json_column": json_column,
     "read_tables": tables_read,
     "write_table": round_trip,
@@ -151,6 +176,8 @@ ORACLES = {
         from (select conv_id, turn, regexp_replace(text, '[^\x20-\x7e\x{a0}-\x{ff}]', ' ', 'g') as t from conversations)""",
     "read_json_records": "select c_custkey, c_name as who_name, c_acctbal as who_account_balance from customer",
     "read_json_wrapped": "select c_custkey, c_mktsegment from customer",
+    "read_json_array": "select c_custkey as id, c_mktsegment as segment, c_nationkey::bigint as nation from customer",
+    "read_json_object": "select s_suppkey, s_name, s_nationkey::bigint as nation from supplier",
     "parse_json_column": "select event_id, (props::json->>'k')::bigint as k from events",
     "read_tables": "select 'customer' as table_name, count(*) as n, 5::bigint as columns from customer union all "
                    "select 'orders', count(*), 6 from orders union all select 'lineitem', count(*), 11 from lineitem",

@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from doppel.checkpoint import settled
 from doppel.functions.columns import col, quoted
 from doppel.functions.normal import round_even
 
@@ -46,22 +48,42 @@ def request_rate(events: DataFrame, key: str, ts: str, window_seconds: int = WIN
                        F.greatest(F.lit(0), F.lit(max_requests) - F.col("used")).cast("bigint").alias("remaining"))
 
 
-def _admit(key: str, span: int, max_requests: int, columns: list[str]):
+def admit_sorted(at: np.ndarray, held: list[int], span: int, max_requests: int) -> tuple[np.ndarray, list[int]]:
+    """Verdicts on events in time order after the admitted times `held`, and the admitted times still in the last window.
+
+    While the window has room for k more, the next k events are admitted as a set; while it is full, all events up to the
+    end of the oldest admitted one's window are rejected as a set.
+    """
+    ok, held, i = np.zeros(len(at), bool), deque(held), 0
+    while i < len(at):
+        while held and held[0] < at[i] - span:
+            held.popleft()
+        room = max_requests - len(held)
+        if room > 0:
+            ok[i:i + room] = True
+            held.extend(at[i:i + room].tolist())
+            i += room
+        elif held:
+            i += int(np.searchsorted(at[i:], held[0] + span, "right"))
+        else:
+            break  # nothing is ever admitted
+    return ok, list(held)
+
+
+def _admit(span: int, max_requests: int, columns: list[str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, admitted = None, deque()
+        current, held = None, []
         for batch in batches:
-            verdicts = []
-            for k, segment, at in zip(batch[key], batch["_segment"], batch["_at"]):
-                k = None if pd.isna(k) else k
-                if (k, segment) != current:
-                    current, admitted = (k, segment), deque()
-                while admitted and admitted[0] < at - span:
-                    admitted.popleft()
-                ok = len(admitted) < max_requests
-                if ok:
-                    admitted.append(at)
-                verdicts.append(ok)
-            yield batch[columns].assign(admitted=verdicts)
+            if not len(batch):
+                continue
+            run_of, at = batch["_run"].to_numpy(np.int64), batch["_at"].to_numpy(np.int64)
+            cuts = np.concatenate([[0], np.flatnonzero(run_of[1:] != run_of[:-1]) + 1, [len(at)]]).tolist()
+            verdicts = np.zeros(len(at), bool)
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if run_of[a] != current:
+                    current, held = run_of[a], []
+                verdicts[a:b], held = admit_sorted(at[a:b], held, span, max_requests)
+            yield batch[columns].assign(admitted=verdicts)[~batch["_before"].to_numpy(bool)]
     return run
 
 
@@ -69,24 +91,29 @@ def rate_limit_admission(events: DataFrame, key: str, ts: str, event_id: str, wi
                          max_requests: int = MAX_REQUESTS) -> DataFrame:
     """Add `admitted`: false when the window already holds max_requests admitted requests of the key.
 
-    A rejected request is not recorded, so each verdict depends on the earlier
-    ones. The chain breaks where a key is silent for a whole window: such
-    stretches are found on a table of occupied windows and run apart. Within a
-    stretch the rows stream through a task in time order; only the admitted
-    times of one window are held.
+    A rejected request is not recorded, so a verdict may depend on earlier ones. It does not where the window holds
+    at most max_requests events of any kind: these are admitted without looking further, spread over blocks of time.
+    Only the others need an order. They form runs, which break where a whole window passes without one of them; a run
+    starts from the sure events of the window before it, so runs of one key are independent. The rows of a
+    run stream through a task in time order, whole sets of them decided at once.
     """
     span = window_seconds * 1_000_000
-    # A struct is never null: events without a key share one window.
-    at = (events.withColumn("_at", micros(events, ts)).withColumn("_slot", F.floor(F.col("_at") / span))
-          .withColumn("_key", F.struct(col(key))))
-    slots = at.select("_key", "_slot").distinct()
-    # An empty slot between two occupied ones is a silence of more than one window.
-    order = Window.partitionBy("_key").orderBy("_slot")
-    islands = slots.withColumn("_segment", F.col("_slot") - F.row_number().over(order))
-    rows = at.join(islands, ["_key", "_slot"]).repartition("_key", "_segment").sortWithinPartitions("_key", "_segment", "_at", event_id)
+    names = events.columns
+    # Events at one time count for each other here, which only makes fewer of them sure.
+    counted = request_rate(events.withColumn("_key", F.struct(col(key))), "_key", ts, window_seconds, max_requests)
+    at = counted.withColumn("_at", micros(events, ts)).withColumn("_slot", F.floor(F.col("_at") / span)).drop("remaining")
+    busy = at.filter(F.col("used") > max_requests).select("_key", "_slot").distinct()
+    # A slot without an unsure event between two with some is more than a window.
+    runs = busy.withColumn("_run", F.xxhash64("_key", F.col("_slot") - F.row_number().over(Window.partitionBy("_key").orderBy("_slot"))))
+    before = runs.groupBy("_key", "_run").agg((F.min("_slot") - 1).alias("_slot"))
+    parts = settled(runs.select("_key", "_slot", "_run", F.lit(False).alias("_before")).unionByName(
+        before.select("_key", "_slot", "_run", F.lit(True).alias("_before"))))
     schema = T.StructType([*events.schema.fields, T.StructField("admitted", T.BooleanType())])
-    return rows.select(*[col(c) for c in events.columns], "_segment", "_at").mapInPandas(
-        _admit(key, span, max_requests, events.columns), schema)
+    sure = at.join(parts.filter("not _before").select("_key", "_slot"), ["_key", "_slot"], "left_anti").select(
+        *[col(c) for c in names], F.lit(True).alias("admitted"))
+    rows = at.join(parts, ["_key", "_slot"]).repartition("_run").sortWithinPartitions("_run", "_at", event_id)
+    judged = rows.select(*[col(c) for c in names], "_run", "_at", "_before").mapInPandas(_admit(span, max_requests, names), schema)
+    return sure.unionByName(judged)
 
 
 def audit_recent(log: DataFrame, ts: str, event_id: str, n: int = RECENT_EVENTS) -> DataFrame:

@@ -22,7 +22,11 @@ from doppel.operators.order_stats import (
 
 PRICE_POINTS = 50
 SMALL_TABLE = 500       # value lists up to this size are drawn from a literal list; the draws are the same either way
-MAX_TAX_RATES = 1000
+LISTED_RATES = 1000     # distinct tax rates kept as a list; more stay a table
+SPREAD = 1000           # a key of more than one in so many rows is looked up in several copies
+# What is assumed of items without the columns to learn it from.
+DEFAULT_QUANTITIES = [1, 2]
+DEFAULT_PRICES = (10.0, 100.0)
 HASH_BUCKET_ROWS = 2_000_000
 # Windows of generated dates and fallbacks of unlearned parts.
 SIGNUP_FROM, SIGNUP_DAYS = date(2021, 1, 1), 1100
@@ -179,29 +183,52 @@ class RelationalModel:
     status: DataFrame | None = None
     discount: DataFrame | None = None
     tax_rates: list[float] = field(default_factory=lambda: [DEFAULT_TAX])
+    tax_table: DataFrame | None = None  # value, n, in place of the list
     city: DataFrame | None = None
 
 
 def learn_relational(customers: DataFrame, orders: DataFrame, items: DataFrame) -> RelationalModel:
     """Learn from customers(customer_id, city), orders(order_id, customer_id, status, discount, tax_rate) and
-    order_items(order_id, category, product_name, quantity, unit_price)."""
+    order_items(order_id, category, product_name, quantity, unit_price).
+
+    Columns other than the keys may be missing: without a quantity it is 1 or 2, without a category or price all pool
+    categories are equally likely at 10 to 100, with a product each.
+    """
     def optional(df, name):
         return value_histogram(df, name) if name in df.columns else None
 
-    rates = [DEFAULT_TAX]
+    spark = items.sparkSession
+    rates, rate_table = [DEFAULT_TAX], None
     if "tax_rate" in orders.columns:
-        found = orders.select(F.col("tax_rate").cast("double").alias("r")).filter("r is not null").distinct().orderBy("r")
-        rates = [r["r"] for r in found.limit(MAX_TAX_RATES + 1).collect()] or rates
-        if len(rates) > MAX_TAX_RATES:
-            raise ValueError(f"more than {MAX_TAX_RATES} distinct tax rates: not a column of rates")
+        found = orders.select(F.col("tax_rate").cast("double").alias("value")).filter("value is not null").distinct()
+        some = [r["value"] for r in found.orderBy("value").limit(LISTED_RATES + 1).collect()]
+        rates = some or rates
+        if len(some) > LISTED_RATES:
+            rate_table = found.withColumn("n", F.lit(1).cast("bigint"))
+
+    def equal(values: list, kind: str) -> DataFrame:
+        return spark.createDataFrame([(v, 1) for v in values], f"value {kind}, n bigint")
+
+    if "quantity" in items.columns:
+        quantity = value_histogram(items.select(numeric(items, "quantity").cast("bigint").alias("quantity")), "quantity")
+        quantity = quantity if quantity.limit(1).count() else equal([1], "bigint")
+    else:
+        quantity = equal(DEFAULT_QUANTITIES, "bigint")
+    if "category" in items.columns and "unit_price" in items.columns:
+        categories, prices = value_histogram(items, "category"), price_quantiles(items)
+        products = product_positions(items) if "product_name" in items.columns else None
+    else:
+        categories = equal(pools.CATEGORIES, "string")
+        low, high = DEFAULT_PRICES
+        grid = F.transform(F.sequence(F.lit(0), F.lit(PRICE_POINTS - 1)), lambda i: F.struct(
+            i.cast("bigint").alias("i"), (F.lit(low) + F.lit(high - low) * i / F.lit(float(PRICE_POINTS - 1))).alias("q")))
+        prices = categories.select(F.col("value").alias("category"), F.inline(grid))
+        products = categories.select(F.col("value").alias("category"), F.concat("value", F.lit(" Product")).alias("product"),
+                                     F.lit(1).cast("bigint").alias("position"), F.lit(1).cast("bigint").alias("size"))
     return RelationalModel(
-        orders_per_customer=fanout_histogram(orders, "customer_id"),
-        items_per_order=fanout_histogram(items, "order_id"),
-        quantity=value_histogram(items.withColumn("quantity", F.col("quantity").cast("bigint")), "quantity"),
-        categories=value_histogram(items, "category"),
-        prices=price_quantiles(items),
-        products=product_positions(items) if "product_name" in items.columns else None,
-        status=optional(orders, "status"), discount=optional(orders, "discount"), tax_rates=rates,
+        orders_per_customer=fanout_histogram(orders, "customer_id"), items_per_order=fanout_histogram(items, "order_id"),
+        quantity=quantity, categories=categories, prices=prices, products=products,
+        status=optional(orders, "status"), discount=optional(orders, "discount"), tax_rates=rates, tax_table=rate_table,
         city=optional(customers, "city"),
     )
 
@@ -251,6 +278,19 @@ def draw(df: DataFrame, u: str, table: DataFrame, out: str) -> DataFrame:
     return hit.select(*df.columns, F.col("value").alias(out))
 
 
+def spread_lookup(df: DataFrame, table: DataFrame, keys: list[str], share: str, row: str, copies: int = SPREAD) -> DataFrame:
+    """Left join with a table of one row a key, where few keys may hold nearly all rows of df.
+
+    `share` is the part of the rows a key is expected to hold. A key with more than 1/copies of them, of which there are at most
+    `copies`, stands in the table as often as its share says, and each row takes one of these by a hash of its `row` id.
+    """
+    wanted = F.greatest(F.lit(1), F.ceil(F.col(share) * copies)).cast("bigint")
+    hot = table.filter(F.col(share) * copies > 1).select(*keys, wanted.alias("_k"))
+    marked = df.join(F.broadcast(hot), keys, "left").withColumn("_copy", F.coalesce(F.pmod(F.xxhash64(row), F.col("_k")), F.lit(0))).drop("_k")
+    there = table.withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("bigint"), wanted - 1))).drop(share)
+    return marked.join(there, [*keys, "_copy"], "left").drop("_copy")
+
+
 def expand_children(parents: DataFrame, parent_id: str, count: str, child_id: str, buckets: int | None = None) -> DataFrame:
     """One row per child with a dense id from 1 in parent order: child_id, the parent columns, `position`.
 
@@ -300,10 +340,13 @@ def generate_orders(customers: DataFrame, model: RelationalModel, seed: int = 42
     else:
         rows = draw(rows, "_status", model.status, "status")
     rows = rows.withColumn("discount", F.lit(0.0)) if model.discount is None else draw(rows, "_discount", model.discount, "discount")
+    tax = pick(model.tax_rates, F.col("_tax"))
+    if model.tax_table is not None:
+        rows, tax = draw(rows, "_tax", model.tax_table, "_rate"), F.col("_rate")
     return rows.select(
         "order_id", "customer_id",
         F.date_add(F.lit(ORDER_FROM), uniform_int(F.col("_day"), 0, ORDER_DAYS).cast("int")).alias("order_date"),
-        "status", money(F.col("discount")).alias("discount"), pick(model.tax_rates, F.col("_tax")).alias("tax_rate"),
+        "status", money(F.col("discount")).alias("discount"), tax.alias("tax_rate"),
     )
 
 
@@ -315,14 +358,19 @@ def generate_items(orders: DataFrame, model: RelationalModel, seed: int = 42) ->
     rid = F.col("item_id")
     rows = rows.select(rid, "order_id", *[uniform(seed, f"item:{s}", rid).alias(f"_{s}") for s in ("category", "product", "quantity", "price")])
     rows = draw(draw(rows, "_category", model.categories, "category"), "_quantity", model.quantity, "quantity")
-    tables = model.prices.groupBy("category").agg(F.array_sort(F.collect_list(F.struct("i", "q"))).alias("_t"))
-    rows = rows.join(tables, "category", "left")  # one short row per category: the planner broadcasts it when it is small
-    price = F.coalesce(round_even(interp_grid(F.col("_price"), F.transform("_t", lambda t: t["q"]), PRICE_POINTS), 2), F.lit(50.0))
+    total = model.categories.agg(F.sum("n")).first()[0] or 1
+    shares = model.categories.select(F.col("value").alias("category"), (F.col("n") / F.lit(float(total))).alias("_share"))
+    about = shares.join(model.prices.groupBy("category").agg(F.array_sort(F.collect_list(F.struct("i", "q"))).alias("_t")), "category", "left")
     if model.products is not None:
         sizes = model.products.select("category", "size").distinct()
-        rows = rows.join(sizes, "category", "left").withColumn("_pos", F.floor(F.col("_product") * F.col("size")) + 1)
-        rows = rows.join(model.products.select("category", F.col("position").alias("_pos"), F.col("product").alias("product_name")),
-                         ["category", "_pos"], "left")
+        about = about.join(sizes, "category", "left")
+    rows = spread_lookup(rows, about, ["category"], "_share", "item_id")
+    price = F.coalesce(round_even(interp_grid(F.col("_price"), F.transform("_t", lambda t: t["q"]), PRICE_POINTS), 2), F.lit(50.0))
+    if model.products is not None:
+        rows = rows.withColumn("_pos", F.floor(F.col("_product") * F.col("size")) + 1)
+        named = model.products.join(shares, "category").select(
+            "category", F.col("position").alias("_pos"), F.col("product").alias("product_name"), (F.col("_share") / F.col("size")).alias("_share"))
+        rows = spread_lookup(rows, named, ["category", "_pos"], "_share", "item_id")
     else:
         rows = rows.withColumn("product_name", F.lit(None).cast("string"))
     name = F.coalesce("product_name", F.concat("category", F.lit(" Item")))

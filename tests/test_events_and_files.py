@@ -139,3 +139,63 @@ def test_pages_by_rank(spark):
     hits = [r["id"] for r in df.filter("a = 'hot'").orderBy("id").collect()]
     assert [r["id"] for r in shaping.page_rows(df, ["id"], 20, 10, "HOT", small=20).collect()] == hits[190:200]
     assert shaping.page_rows(df, ["id"], 5, 10, "nothing", small=20).count() == 0
+
+
+def test_admission_in_sets_equals_one_by_one(spark):
+    """Bursts, ties, quiet stretches and keys at the limit: the same verdicts as one event after another."""
+    import random
+    rng = random.Random(9)
+    for limit, span in ((3, 60), (1, 5), (7, 40)):
+        made, want = None, {}
+        for key in ("a", "b", None):
+            seconds, t = [], 0
+            for _ in range(300):
+                t += rng.choice([0, 0, 1, 1, 2, 5, 30 if rng.random() < 0.9 else 400])
+                seconds.append(t)
+            want[key] = limiter(seconds, span, limit)
+            df = requests(spark, seconds, key or "x").withColumn("key", F.lit(key).cast("string"))
+            made = df if made is None else made.unionByName(df)
+        out = events.rate_limit_admission(made.repartition(5), "key", "ts", "event_id", span, limit).toPandas()
+        for key, verdicts in want.items():
+            mine = out[out["key"].isna()] if key is None else out[out["key"] == key]
+            assert list(mine.sort_values("event_id")["admitted"]) == verdicts
+
+
+def test_admission_sets():
+    import numpy as np
+    at = np.array([0, 0, 0, 1, 5, 6, 6, 7, 20], np.int64)
+    ok, held = events.admit_sorted(at, [], 5, 2)
+    assert ok.tolist() == limiter(at.tolist(), 5, 2) and held == [20]
+    assert not events.admit_sorted(at, [], 5, 0)[0].any()
+
+
+def test_busy_key_under_the_limit_is_spread(spark):
+    """A key that is never silent and never over the limit needs no order: nothing goes through one task."""
+    df = spark.range(20000).selectExpr("id as event_id", "'k' as key", "timestamp_micros(id * 30000000) as ts")
+    out = events.rate_limit_admission(df, "key", "ts", "event_id", 60, 4)
+    assert out.filter("admitted").count() == 20000
+    sizes = out.groupBy(F.spark_partition_id()).count().toPandas()["count"]
+    assert sizes.max() < 20000
+
+
+def test_streamed_admission_in_event_time(spark, tmp_path):
+    """Events that arrive in another order are judged as the batch form does, and silent keys leave no state."""
+    import random
+    rng = random.Random(4)
+    seconds = sorted(rng.randrange(900) for _ in range(150))
+    df = requests(spark, seconds).withColumn("key", F.when(F.col("event_id") % 5 != 0, F.concat(F.lit("k"), (F.col("event_id") % 3).cast("string"))))
+    rows = df.collect()
+    mixed = sorted(rows, key=lambda r: (r["ts"].timestamp() + rng.random() * 90))
+    for k in range(5):
+        spark.createDataFrame(mixed[k * 30:(k + 1) * 30], df.schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    end = requests(spark, [100_000], "end").withColumn("event_id", F.lit(10_000))
+    end.select(*[F.col(f.name).cast(f.dataType) for f in df.schema]).coalesce(1).write.parquet(f"{tmp_path}/in/9")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    query = (admission.stream_admission(stream, "key", "ts", "event_id", 60, 3, delay="120 seconds").writeStream.format("parquet")
+             .option("checkpointLocation", f"{tmp_path}/state").option("path", f"{tmp_path}/out").trigger(availableNow=True).start())
+    query.awaitTermination()
+    got = {int(r["event_id"]): r["admitted"] for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    want = {r["event_id"]: r["admitted"] for r in events.rate_limit_admission(df, "key", "ts", "event_id", 60, 3).collect()}
+    assert got == want
+    held = spark.read.format("statestore").option("stateVarName", "held").load(f"{tmp_path}/state")
+    assert held.count() == 0

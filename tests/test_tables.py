@@ -170,3 +170,42 @@ def test_plan_bounds_are_literals(spark):
     df = spark.range(1000).select(F.col("id").cast("double").alias("v"))
     plan = order.plan_order(df, {"v": F.col("v")}, 10)
     assert len(plan.bounds["v"]) == 9 and plan.rows == 1000 and plan.nulls["v"] == 0
+
+
+def test_lookup_of_a_hot_key_is_spread(spark):
+    """One key with 99 % of the rows: the result of a plain join, and its rows meet many copies of the key."""
+    rows = spark.range(20000).selectExpr("id", "if(id % 100 < 99, 'hot', concat('k', id % 7)) as category", "cast(null as string) as other")
+    table = spark.createDataFrame([("hot", 0.99, 5), *[(f"k{i}", 0.001, i) for i in range(6)]], "category string, _share double, v int")
+    got = relational.spread_lookup(rows, table, ["category"], "_share", "id", copies=50)
+    assert sorted(got.columns) == ["category", "id", "other", "v"] and got.count() == 20000
+    assert got.filter("v is null").select("category").distinct().collect() == [("k6",)]
+    assert got.filter("category = 'hot' and v = 5").count() == rows.filter("category = 'hot'").count()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = relational.spread_lookup(rows, table, ["category"], "_share", "id", copies=50)
+        sizes = plan.groupBy(F.spark_partition_id()).count().toPandas()["count"]
+        assert sizes.max() < 15000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_learning_from_keys_alone(spark):
+    customers = spark.range(1, 60).selectExpr("id as customer_id")
+    orders = spark.range(1, 200).selectExpr("id as order_id", "id % 59 + 1 as customer_id", "id / 4000D as tax_rate")
+    items = spark.range(1, 500).selectExpr("id % 199 + 1 as order_id")
+    model = relational.learn_relational(customers, orders, items)
+    made = relational.generate_learned(spark.range(1, 300), model, 7)["order_items"].toPandas()
+    assert set(made["quantity"]) == {1, 2} and made["unit_price"].astype(float).between(10, 100).all()
+    assert (made["product_name"] == made["category"] + " Product").all() and made["category"].nunique() > 3
+
+
+def test_many_tax_rates(spark, monkeypatch):
+    monkeypatch.setattr(relational, "LISTED_RATES", 20)
+    customers = spark.range(1, 60).selectExpr("id as customer_id")
+    orders = spark.range(1, 2000).selectExpr("id as order_id", "id % 59 + 1 as customer_id", "(id % 300) / 1000D as tax_rate")
+    items = spark.range(1, 500).selectExpr("id % 199 + 1 as order_id")
+    model = relational.learn_relational(customers, orders, items)
+    made = relational.generate_orders(spark.range(1, 200).selectExpr("id as customer_id"), model, 3).select("tax_rate").distinct().count()
+    assert model.tax_table is not None and made > 100
