@@ -9,6 +9,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from doppel.checkpoint import stored
 from doppel.functions import identity, pools
 from doppel.functions.columns import col, numeric
 from doppel.functions.money import MONEY, money
@@ -357,18 +358,20 @@ def generate_items(orders: DataFrame, model: RelationalModel, seed: int = 42) ->
     rows = expand_children(counted, "order_id", "_n", "item_id")
     rid = F.col("item_id")
     rows = rows.select(rid, "order_id", *[uniform(seed, f"item:{s}", rid).alias(f"_{s}") for s in ("category", "product", "quantity", "price")])
-    rows = draw(draw(rows, "_category", model.categories, "category"), "_quantity", model.quantity, "quantity")
-    total = model.categories.agg(F.sum("n")).first()[0] or 1
-    shares = model.categories.select(F.col("value").alias("category"), (F.col("n") / F.lit(float(total))).alias("_share"))
+    categories = stored(model.categories)
+    rows = draw(draw(rows, "_category", categories, "category"), "_quantity", model.quantity, "quantity")
+    total = categories.agg(F.sum("n")).first()[0] or 1
+    shares = categories.select(F.col("value").alias("category"), (F.col("n") / F.lit(float(total))).alias("_share"))
     about = shares.join(model.prices.groupBy("category").agg(F.array_sort(F.collect_list(F.struct("i", "q"))).alias("_t")), "category", "left")
-    if model.products is not None:
-        sizes = model.products.select("category", "size").distinct()
-        about = about.join(sizes, "category", "left")
+    products = None if model.products is None else stored(model.products)
+    if products is not None:
+        about = about.join(products.select("category", "size").distinct(), "category", "left")
+    about = stored(about)  # one row a category
     rows = spread_lookup(rows, about, ["category"], "_share", "item_id")
     price = F.coalesce(round_even(interp_grid(F.col("_price"), F.transform("_t", lambda t: t["q"]), PRICE_POINTS), 2), F.lit(50.0))
-    if model.products is not None:
+    if products is not None:
         rows = rows.withColumn("_pos", F.floor(F.col("_product") * F.col("size")) + 1)
-        named = model.products.join(shares, "category").select(
+        named = products.join(about.select("category", "_share"), "category").select(
             "category", F.col("position").alias("_pos"), F.col("product").alias("product_name"), (F.col("_share") / F.col("size")).alias("_share"))
         rows = spread_lookup(rows, named, ["category", "_pos"], "_share", "item_id")
     else:
