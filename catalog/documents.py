@@ -140,8 +140,8 @@ _WS2 = r"[\t-\r\x1c- \x{85}\p{Z}]+"
 _LINES = (f"list_filter(list_transform(regexp_split_to_array(text, '{_BREAK}'), lambda x: regexp_replace(x, '^{_WS2}|{_WS2}$', '', 'g')), "
           f"lambda x: length(x) between 4 and 39)")
 _ITEM = " and ".join(f"not contains(lower(x), {s(w)})" for w in documents.NOT_ITEMS)
-LABELS_SQL = (f"(select doc_id, text, list_filter(ls, lambda x: {_ITEM})[1:6] as labels, "
-              f"greatest(2, least(8, case when len(ls) // 4 = 0 then 4 else len(ls) // 4 end))::bigint as n_items "
+LABELS_SQL = (f"(select doc_id, text, list_filter(ls, lambda x: {_ITEM}) as labels, "
+              f"greatest(2, case when len(ls) // 4 = 0 then 4 else len(ls) // 4 end)::bigint as n_items "
               f"from (select doc_id, text, {_LINES} as ls from {NOTED_SQL}))")
 
 

@@ -38,8 +38,7 @@ LOCALE_WORDS = [
 ]
 NOT_ITEMS = ["invoice", "date", "total", "subtotal", "tax", "bill to", "due", "amount", "page"]
 LINE_LOW, LINE_HIGH = 4, 39
-MAX_LABELS = 6
-LINES_PER_ITEM, FEWEST_ITEMS, MOST_ITEMS = 4, 2, 8
+LINES_PER_ITEM, FEWEST_ITEMS = 4, 2
 
 DEFAULT_AS_OF = date(2024, 12, 31)
 _LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
@@ -319,8 +318,8 @@ def detect_doc_locale(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("locale", document_locale(F.col(text)))
 
 
-def extract_item_lines(df: DataFrame, text: str) -> DataFrame:
-    """Add `labels` (up to six lines that may name items) and `n_items` (lines / 4, between 2 and 8)."""
+def extract_item_lines(df: DataFrame, text: str, most_labels: int | None = None, most_items: int | None = None) -> DataFrame:
+    """Add `labels` (the lines that may name items) and `n_items` (lines / 4, at least 2), of the whole text unless limits are given."""
     trimmed = F.transform(F.split(F.col(text), _LINE_BREAK),
                           lambda x: F.regexp_replace(x, f"^{WHITESPACE}|{WHITESPACE}$", ""))
     lines = F.filter(trimmed, lambda x: F.length(x).between(LINE_LOW, LINE_HIGH))
@@ -332,13 +331,17 @@ def extract_item_lines(df: DataFrame, text: str) -> DataFrame:
 
     per_item = F.floor(F.size("_lines") / LINES_PER_ITEM)
     guess = F.when(per_item == 0, F.lit(LINES_PER_ITEM)).otherwise(per_item)
+    guess = guess if most_items is None else F.least(F.lit(most_items), guess)
+    labels = F.filter("_lines", item)
     return rows.withColumns({
-        "labels": F.slice(F.filter("_lines", item), 1, MAX_LABELS),
-        "n_items": F.greatest(F.lit(FEWEST_ITEMS), F.least(F.lit(MOST_ITEMS), guess)).cast("bigint"),
+        "labels": labels if most_labels is None else F.slice(labels, 1, most_labels),
+        "n_items": F.greatest(F.lit(FEWEST_ITEMS), guess).cast("bigint"),
     }).drop("_lines")
 
 
-def mimic_invoices(documents: DataFrame, doc_id: str, text: str, seed: int = 42, as_of: date = DEFAULT_AS_OF) -> DataFrame:
+def mimic_invoices(documents: DataFrame, doc_id: str, text: str, seed: int = 42, as_of: date = DEFAULT_AS_OF,
+                   most_labels: int | None = None, most_items: int | None = None) -> DataFrame:
     """An invoice per source document in its locale, with as many items and the labels the document suggests."""
-    read = extract_item_lines(detect_doc_locale(documents.select(F.col(doc_id).alias("id"), F.col(text).alias("_text")), "_text"), "_text")
+    source = documents.select(F.col(doc_id).alias("id"), F.col(text).alias("_text"))
+    read = extract_item_lines(detect_doc_locale(source, "_text"), "_text", most_labels, most_items)
     return generate_invoices(read.drop("_text"), seed, as_of=as_of)
