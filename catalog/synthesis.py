@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from catalog.association import PRICED_SQL, priced
@@ -156,6 +157,14 @@ def sampled(spark, d):
     return out.withColumn("l_shipdate", F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss"))
 
 
+def repaired(spark, d):
+    """The nearest correlation matrix to one that no three columns can have: each like the first, the last two opposed."""
+    c = table(spark, d, "lineitem").agg(F.corr("l_extendedprice", F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("c")).first()["c"]
+    fixed = copula.nearest_psd(np.array([[1.0, c, c], [c, 1.0, -c], [c, -c, 1.0]]))
+    cells = [("xyz"[i], "xyz"[j], float(fixed[i, j])) for i in range(3) for j in range(3)]
+    return spark.createDataFrame(cells, "a string, b string, value double").withColumn("value", F.round("value", 9))
+
+
 def by_method(spark, d):
     """Learned and independent customers side by side, from the same call."""
     customers = table(spark, d, "customer")
@@ -204,6 +213,7 @@ QUERIES = {
     "sample_copula": sampled_pair,
     "sample_copula_table": sampled,
     "generate_with_method": by_method,
+    "nearest_psd": repaired,
 }
 
 _TIE = u("tie", *LINE_IDS)
@@ -223,6 +233,11 @@ ORACLES = {
         round(score, 6) as score from ({categories_sql('lineitem', LABELS, NUMBERS)})""",
     "normal_scores": f"select {', '.join(LINE_IDS[:3])}, l_linenumber::bigint as l_linenumber, "
                      f"{', '.join(f'round(z_{c}, 8) as z_{c}' for c in [*SCORED, 'size_band'])} from ({scores_sql()})",
+    # Its least eigenvalue 1 - 2c, below 0, belongs to (1, -1, -1); raised to 1e-6 it adds a multiple of that vector's square.
+    "nearest_psd": """with k as (select corr(l_extendedprice, l_extendedprice * (1 - l_discount)) as c from lineitem), m as (select (1e-6::double - 1 + 2 * c) / 3 as d, c from k),
+        s(a, b, sign) as (values ('x', 'y', 1), ('x', 'z', 1), ('y', 'z', -1), ('y', 'x', 1), ('z', 'x', 1), ('z', 'y', -1))
+        select a, b, round(sign * (c - d) / (1 + d), 9) as value from s, m
+        union all select x, x, 1.0::double from (values ('x'), ('y'), ('z')) t(x)""",
     "fit_copula": fitted_sql(),
     "sample_copula": sampled_pair_sql(),
 }
