@@ -39,7 +39,6 @@ ROUND_ROWS = 3_000_000  # rows in a round, of small tables
 HOT = 4096  # about from this number on, nodes of one value are not compared in one task
 SAMPLE = 64  # one of so many nodes is counted to find such values
 BATCH = 1 << 17  # rows of a task taken at once
-LENGTHS = 0.7  # least ratio of the bytes of two lines compared; looser than SIMILARITY, which counts characters
 PAIRS = 1 << 20  # SimHashes compared at once
 BLOCK = 2048  # members of a candidate group compared with each other in one call
 
@@ -54,7 +53,7 @@ def normal_lines(text: str) -> list[bytes]:
 
 
 def described(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all lines with words: the text's number, the line's number, a hash of its words in order, its bytes, its SimHash."""
+    """Of all lines with words: the text's number, the line's number, a hash of its words in order, its characters, its SimHash."""
     lines = [normal_lines(t) for t in texts]
     size = np.fromiter(map(len, lines), np.int64, len(lines))
     words = Words([x for own in lines for x in own], lower=False)
@@ -68,7 +67,8 @@ def described(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     first = np.cumsum(counts) - counts
     place = np.arange(len(words.hashes)) - np.repeat(first, counts)
     key = mix(np.add.reduceat(mix(words.hashes + mix(place.astype(np.uint64) + np.uint64(1))), first))
-    length = np.add.reduceat(words.ends - words.starts + 1, first) - 1
+    later = np.concatenate([[0], np.cumsum(np.frombuffer(words.raw, np.uint8) & 0xC0 == 0x80)])  # bytes that continue a character
+    length = np.add.reduceat(words.ends - words.starts - (later[words.ends] - later[words.starts]) + 1, first) - 1
     hashes, voters = grams(words.raw, [len(x) + 1 for own in lines for x in own], full)
     return text[full], number[full], key, length, simhash(hashes, voters)
 
@@ -191,9 +191,11 @@ def _bits(sims: np.ndarray) -> np.ndarray:
     return np.bitwise_count(sims).sum(axis=-1, dtype=np.int64)
 
 
-def _close(sims: np.ndarray, run: np.ndarray, length: np.ndarray, radius: int, up: np.ndarray) -> None:
+def _close(sims: np.ndarray, run: np.ndarray, length: np.ndarray, radius: int, up: np.ndarray, least: float) -> None:
     """Joins pairs of the same run within the radius and of like length in the forest `up`; rows are sorted by run, then length.
 
+    Lines of this similarity differ in length by no more than the share it leaves.
+
     After each step all of `up` are roots, and pairs that are already connected are not compared.
     """
     _, size = np.unique(run, return_counts=True)
@@ -201,7 +203,7 @@ def _close(sims: np.ndarray, run: np.ndarray, length: np.ndarray, radius: int, u
     at = np.arange(len(sims))
     for d in range(1, int(size.max(initial=1))):
         at = at[at + d < end[at]]
-        at = at[LENGTHS * length[at + d] <= length[at]]
+        at = at[least * length[at + d] <= length[at] + 1e-6]
         if not len(at):
             break
         for k in range(0, len(at), PAIRS):
@@ -223,7 +225,7 @@ def _close(sims: np.ndarray, run: np.ndarray, length: np.ndarray, radius: int, u
                 up[:] = above
 
 
-def _met(radius: int):
+def _met(radius: int, least: float):
     """Links between SimHashes that share a block: a spanning forest of those within the radius, for each value of a block."""
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest, size = [], 0
@@ -244,7 +246,7 @@ def _met(radius: int):
     def forest(frame: pd.DataFrame) -> pd.DataFrame:
         sims, block = frame[SIMS].to_numpy(np.int64), frame["block"].to_numpy(np.int64)
         up = np.arange(len(sims))
-        _close(sims.view(np.uint64), block >> 24, block & 0xFFFFFF, radius, up)
+        _close(sims.view(np.uint64), block >> 24, block & 0xFFFFFF, radius, up, least)
         return pd.DataFrame({"a": sims[:, 0], "b": sims[up, 0]})[lambda x: x["a"] != x["b"]].drop_duplicates()
     return work
 
@@ -336,7 +338,7 @@ def _candidates(nodes: DataFrame, similarity: float, radius: int) -> DataFrame:
     step = max(ROUND, ROUND_ROWS // max(n, 1))
     links = None
     for first in range(0, len(blocks), step):
-        found = written(_links(nodes, blocks[first:first + step], first, radius), "line-links")
+        found = written(_links(nodes, blocks[first:first + step], first, radius, similarity), "line-links")
         links = found if links is None else links.unionAll(found)
         tidy(spark)
     groups = connected(links)
@@ -344,7 +346,7 @@ def _candidates(nodes: DataFrame, similarity: float, radius: int) -> DataFrame:
     return settled(groups.unionAll(twins.join(groups.select("node"), "node", "left_anti").select("node", F.col("node").alias("root"))))
 
 
-def _links(nodes: DataFrame, blocks: np.ndarray, first: int, radius: int) -> DataFrame:
+def _links(nodes: DataFrame, blocks: np.ndarray, first: int, radius: int, similarity: float = SIMILARITY) -> DataFrame:
     """a, b: SimHashes that meet in some blocks."""
     def met(of: DataFrame) -> DataFrame:
         return of.mapInPandas(_values(blocks, first), ", ".join(f"{c} long" for c in SIMS) + ", length int, values array<long>").select(
@@ -359,7 +361,7 @@ def _links(nodes: DataFrame, blocks: np.ndarray, first: int, radius: int) -> Dat
     cold = rows if not some else rows.join(F.broadcast(hot), "value", "left_anti")
     # The block's number and value, then the length, so that sorting puts lines of like length side by side.
     near = (cold.withColumn("block", F.shiftleft("value", 24) + F.least("length", F.lit((1 << 24) - 1)))
-            .repartition("value").sortWithinPartitions("block").select(*SIMS, "block").mapInPandas(_met(radius), "a long, b long"))
+            .repartition("value").sortWithinPartitions("block").select(*SIMS, "block").mapInPandas(_met(radius, similarity), "a long, b long"))
     if not some:
         return near
     shared = rows.join(F.broadcast(hot), "value").select("value", F.col("sim0").alias("a"))

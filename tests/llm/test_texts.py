@@ -96,3 +96,21 @@ def test_sequences_are_full_and_pieces_disjoint(lengths):
     for q, size in enumerate(room.tolist()):
         own = sorted((o, m) for _, _, m, s, o in pieces if s == q)
         assert [o for o, _ in own] == np.cumsum([0, *(m for _, m in own)])[:-1].tolist() and sum(m for _, m in own) == size
+
+
+@settings(max_examples=200, deadline=None)
+@given(text=st.text(st.sampled_from([*"ab c\t\n.5é🙂中"]), max_size=40))
+def test_lengths_of_lines_count_characters(text):
+    """Lines are compared by their characters, whatever bytes these take."""
+    text_of, number, _, length, _ = lines.described([text])
+    normal = [b" ".join(x.split()).decode() for x in lines.normal_lines(text)]
+    assert length.tolist() == [len(normal[n]) for n in number]
+
+
+def test_lines_of_like_length_meet():
+    """Of 100 and 80 characters, a fifth apart, but not of 100 and 79."""
+    sims = np.zeros((3, lines.WORDS), np.uint64)
+    for short, joined in ((80, True), (79, False)):
+        up = np.arange(2)
+        lines._close(sims[:2], np.zeros(2, np.int64), np.array([short, 100]), 10, up, 0.8)
+        assert (up[1] == 0) == joined
