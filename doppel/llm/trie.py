@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from doppel.llm.batches import width, written
 
-LIGHT = 1024      # members
+LIGHT = 256       # members
 BAND = 4096       # levels
 HELD = 1 << 20    # messages in memory
 RUN_IDS = 1 << 16  # ids in a run for a digest
