@@ -9,8 +9,9 @@ MATES of them share a value by chance. Scattered single letters change more bits
 both. Candidate groups are verified on the normalised texts by edit similarity, where a pair that is already connected through
 others is not compared again, and of each connected group the first occurrence stays.
 
-Values of a block that many nodes share are not compared in one task: their nodes hang to the least of them and meet in the verification,
-which deals a group to cells. Blocks are worked off in rounds, so that the disk does not hold all of them.
+SimHashes travel packed by block and range of its values, and each range is compared in one call with numpy. Values of a block that
+many nodes share are not compared in one task: their nodes hang to one of them and meet in the verification, which compares all members of
+a group with one of them and deals only groups with others to cells. Blocks are worked off in rounds, so that the disk does not hold all of them.
 """
 
 from __future__ import annotations
@@ -20,11 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doppel.checkpoint import settled
-from doppel.llm.batches import free, slices, written
+from doppel.llm.batches import free, slices, width, written
 from doppel.llm.groups import cells, connected, tidy
 from doppel.llm.words import Words, mix
 
@@ -34,11 +36,16 @@ GRAM = 5  # shorter runs are shared by too many unrelated long lines
 RECALL = 0.9  # share of pairs at SIMILARITY that are to meet in a block
 DEVIATIONS = 2.5
 MATES = 64
-ROUND = 8  # blocks in a round, of large tables
-ROUND_ROWS = 3_000_000  # rows in a round, of small tables
+ROUND = 6  # blocks in a round, of large tables
+ROUND_ROWS = 6_000_000  # rows in a round, of small tables
 HOT = 4096  # about from this number on, nodes of one value are not compared in one task
+HOT_VALUES = 1 << 20  # values of a round that may be told to all tasks; in rounds of so many rows the number HOT rises
 SAMPLE = 64  # one of so many nodes is counted to find such values
-BATCH = 1 << 17  # rows of a task taken at once
+BATCH = 1 << 17  # nodes of a task packed at once
+RUN = 1 << 17  # nodes of a block compared in one call, about
+TASK_ROWS = 1 << 20  # nodes compared in one task, about
+FIRST = 3.0  # deviations of the first 64 bits
+LINE_CHARS = 400_000  # characters described at once: what fits in a processor's cache
 PAIRS = 1 << 20  # SimHashes compared at once
 BLOCK = 2048  # members of a candidate group compared with each other in one call
 
@@ -101,10 +108,10 @@ def differing(similarity: float) -> float:
     return math.acos(max(0.0, 1 - 1.25 * (1 - similarity))) / math.pi
 
 
-def radius_of(similarity: float) -> int:
-    """The bits expected to differ at this similarity, and DEVIATIONS."""
-    n, p = 64 * WORDS, differing(similarity)
-    return round(n * p + DEVIATIONS * math.sqrt(n * p * (1 - p)))
+def radius_of(similarity: float, bits: int = 64 * WORDS, deviations: float = DEVIATIONS) -> int:
+    """The bits expected to differ at this similarity, and some deviations."""
+    p = differing(similarity)
+    return round(bits * p + deviations * math.sqrt(bits * p * (1 - p)))
 
 
 def blocks_of(nodes: int, similarity: float, recall: float = RECALL) -> np.ndarray:
@@ -177,7 +184,7 @@ def distance(a: str, b: str, most: int | None = None) -> int:
 
 
 def _line_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for part in slices(frames):
+    for part in slices(frames, most=LINE_CHARS):
         text, number, key, length, sims = described(part["text"].tolist())
         yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").take(text).array, "did": part["did"].to_numpy()[text], "line": number.astype(np.int32),
                             "node": key.view(np.int64), "length": np.minimum(length, 2 ** 31 - 1).astype(np.int32)}
@@ -185,6 +192,7 @@ def _line_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 SIMS = [f"sim{w}" for w in range(WORDS)]
+ENTRY = np.dtype([("sims", "<u8", (WORDS,)), ("length", "<u2")])  # lengths beyond 16 bits count as the greatest
 
 
 def _bits(sims: np.ndarray) -> np.ndarray:
@@ -194,13 +202,15 @@ def _bits(sims: np.ndarray) -> np.ndarray:
 def _close(sims: np.ndarray, run: np.ndarray, length: np.ndarray, radius: int, up: np.ndarray, least: float) -> None:
     """Joins pairs of the same run within the radius and of like length in the forest `up`; rows are sorted by run, then length.
 
-    Lines of this similarity differ in length by no more than the share it leaves.
+    Lines of this similarity differ in length by no more than the share it leaves. The first 64 bits are compared first: a pair goes on
+    where they differ in no more than radius_of says for 64 bits at FIRST deviations.
 
     After each step all of `up` are roots, and pairs that are already connected are not compared.
     """
     _, size = np.unique(run, return_counts=True)
     end = np.repeat(np.cumsum(size), size)
     at = np.arange(len(sims))
+    front, some = np.ascontiguousarray(sims[:, 0]), min(radius, radius_of(least, 64, FIRST))
     for d in range(1, int(size.max(initial=1))):
         at = at[at + d < end[at]]
         at = at[least * length[at + d] <= length[at] + 1e-6]
@@ -208,6 +218,7 @@ def _close(sims: np.ndarray, run: np.ndarray, length: np.ndarray, radius: int, u
             break
         for k in range(0, len(at), PAIRS):
             i = at[k:k + PAIRS]
+            i = i[np.bitwise_count(front[i] ^ front[i + d]) <= some]
             i = i[up[i] != up[i + d]]
             i = i[_bits(sims[i] ^ sims[i + d]) <= radius]
             if not len(i):
@@ -225,45 +236,92 @@ def _close(sims: np.ndarray, run: np.ndarray, length: np.ndarray, radius: int, u
                 up[:] = above
 
 
-def _met(radius: int, least: float):
-    """Links between SimHashes that share a block: a spanning forest of those within the radius, for each value of a block."""
+def _values(sims: np.ndarray, block: np.ndarray) -> np.ndarray:
+    """The value of a block of bits for each SimHash."""
+    out = np.zeros(len(sims), np.int64)
+    for bit in block.tolist():
+        out = out << 1 | (sims[:, bit // 64] >> np.uint64(bit % 64) & np.uint64(1)).astype(np.int64)
+    return out
+
+
+def _sims(frame: pd.DataFrame) -> np.ndarray:
+    return np.ascontiguousarray(frame[SIMS].to_numpy(np.int64)).view(np.uint64)
+
+
+def _sampled(blocks: np.ndarray, first: int):
+    """How many SimHashes of a sample have a value of a block, and the least of them."""
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            sims, own = _sims(frame), frame["sim0"].to_numpy(np.int64)
+            for k, block in enumerate(blocks):
+                value, at, n = np.unique(_values(sims, block), return_inverse=True, return_counts=True)
+                least = np.full(len(value), np.iinfo(np.int64).max)
+                np.minimum.at(least, at, own)
+                yield pd.DataFrame({"block": np.int32(first + k), "value": value, "n": n, "b": least})
+    return work
+
+
+def _dealt(blocks: np.ndarray, first: int, ranges: int, hot: Broadcast):
+    """The SimHashes packed by block and range of its values, one row for each of these and BATCH nodes; links of hot values go out as they are."""
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest, size = [], 0
         for frame in frames:
             rest.append(frame)
             size += len(frame)
-            if size < BATCH:
-                continue
-            frame = pd.concat(rest, ignore_index=True)
-            run = frame["block"].to_numpy() >> 24
-            last = int(np.searchsorted(run, run[-1]))
-            yield forest(frame.iloc[:last])
-            rest = [frame.iloc[last:]]
-            size = len(rest[0])
+            if size >= BATCH:
+                yield from packed(pd.concat(rest, ignore_index=True))
+                rest, size = [], 0
         if size:
-            yield forest(pd.concat(rest, ignore_index=True))
+            yield from packed(pd.concat(rest, ignore_index=True))
+
+    def packed(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        sims = _sims(frame)
+        rows = np.zeros(len(sims), ENTRY)
+        rows["sims"] = sims
+        rows["length"] = np.minimum(frame["length"].to_numpy(np.int64), 0xFFFF)
+        for k, block in enumerate(blocks):
+            value = _values(sims, block)
+            many, centre = hot.value.get(first + k, (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+            if len(many):
+                at = np.minimum(np.searchsorted(many, value), len(many) - 1)
+                star = many[at] == value
+                links = np.stack([sims[star, 0].view(np.int64), centre[at[star]]], 1)
+                links = np.unique(links[links[:, 0] != links[:, 1]], axis=0)
+                if len(links):
+                    yield pd.DataFrame({"bucket": -1 - np.arange(1), "rows": [links.tobytes()]})
+                left = np.flatnonzero(~star)
+            else:
+                left = np.arange(len(sims))
+            if not len(left):
+                continue
+            own = value[left] * ranges >> len(block)
+            order = np.argsort(own, kind="stable")
+            own, left = own[order], left[order]
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(own)) + 1])
+            yield pd.DataFrame({"bucket": (first + k) * ranges + own[cuts], "rows": [x.tobytes() for x in np.split(rows[left], cuts[1:])]})
+    return work
+
 
-    def forest(frame: pd.DataFrame) -> pd.DataFrame:
-        sims, block = frame[SIMS].to_numpy(np.int64), frame["block"].to_numpy(np.int64)
+def _met(blocks: np.ndarray, first: int, ranges: int, radius: int, least: float):
+    """Links between SimHashes that share a block: a spanning forest of those within the radius, for each value of a block."""
+    def work(frame: pd.DataFrame) -> pd.DataFrame:
+        rows = np.concatenate([np.frombuffer(x, ENTRY) for x in frame["rows"]])
+        value = _values(np.ascontiguousarray(rows["sims"]), blocks[int(frame["bucket"].iloc[0]) // ranges - first])
+        key = value << 16 | rows["length"]
+        order = np.argsort(key)
+        key, sims = key[order], np.ascontiguousarray(rows["sims"][order])
         up = np.arange(len(sims))
-        _close(sims.view(np.uint64), block >> 24, block & 0xFFFFFF, radius, up, least)
-        return pd.DataFrame({"a": sims[:, 0], "b": sims[up, 0]})[lambda x: x["a"] != x["b"]].drop_duplicates()
+        _close(sims, key >> 16, key & 0xFFFF, radius, up, least)
+        a, b = sims[:, 0].view(np.int64), sims[up, 0].view(np.int64)
+        return pd.DataFrame({"a": a, "b": b})[a != b].drop_duplicates()
     return work
 
 
-def _values(blocks: np.ndarray, first: int):
-    """Of each SimHash its values of some blocks, with the number of the block above them."""
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            sims = np.ascontiguousarray(frame[SIMS].to_numpy(np.int64))
-            bits = np.unpackbits(sims.view(np.uint8).reshape(len(sims), -1), axis=1, bitorder="little")
-            values = np.zeros((len(sims), len(blocks)), np.int64)
-            for k, own in enumerate(blocks):
-                values[:, k] = first + k
-                for bit in own:
-                    values[:, k] = values[:, k] << 1 | bits[:, bit]
-            yield frame[[*SIMS, "length"]].assign(values=list(values))
-    return work
+def _stars(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Links of hot values."""
+    for frame in frames:
+        for rows in frame["rows"]:
+            yield pd.DataFrame(np.frombuffer(rows, np.int64).reshape(-1, 2), columns=["a", "b"])
 
 
 def _verified(least: float, radius: int):
@@ -274,6 +332,8 @@ def _verified(least: float, radius: int):
             texts, side = group["text"].tolist(), group["side"].to_numpy()
             sims = np.ascontiguousarray(group[SIMS].to_numpy(np.int64)).view(np.uint64)
             least_of = np.arange(len(texts))  # the first position of each position's group
+            hubs = np.flatnonzero(group["hub"].to_numpy(bool))
+            least_of[hubs] = hubs[:1]
             for i in range(len(texts) - 1):
                 near = _bits(sims[i] ^ sims[i + 1:]) <= radius
                 near &= ((side[i + 1:] != side[i]) | (side[i] == 2)) & (least_of[i + 1:] != least_of[i])
@@ -287,6 +347,34 @@ def _verified(least: float, radius: int):
     return work
 
 
+def _compared(least: float, radius: int):
+    """Whether each member of a group is similar to the group's pivot, its least member."""
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            pivot = _sims(frame[[f"pivot_{c}" for c in SIMS]].set_axis(SIMS, axis=1))
+            near = _bits(_sims(frame) ^ pivot) <= radius
+            frame["hub"] = [bool(n) and similar(a, b, least) for n, a, b in zip(near, frame["text"], frame["pivot_text"])]
+            yield frame[["node", *SIMS, "root", "text", "size", "pivot", "hub"]]
+    return work
+
+
+def _verified_links(members: DataFrame, similarity: float, radius: int) -> DataFrame:
+    """a, b: links that connect the similar members of each group.
+
+    All members are compared with their pivot first. In groups where some are not similar to it the others are compared with
+    each other, but for pairs that are both similar to it.
+    """
+    pivots = (members.groupBy("root").agg(F.min_by(F.struct("node", "text", *SIMS), "node").alias("p"), F.count("*").alias("size"))
+              .select("root", "size", F.col("p.node").alias("pivot"), F.col("p.text").alias("pivot_text"), *[F.col(f"p.{c}").alias(f"pivot_{c}") for c in SIMS]))
+    seen = written(members.join(pivots, "root").mapInPandas(
+        _compared(similarity, radius), "node long, " + ", ".join(f"{c} long" for c in SIMS) + ", root long, text string, size long, pivot long, hub boolean"), "line-pivots")
+    tidy(members.sparkSession)
+    mixed = seen.where("not hub and size > 2").select("root").distinct()
+    rest = seen.join(mixed, "root", "left_semi").select("node", *SIMS, "root", "text", "hub")
+    found = cells(rest, "root", "node", BLOCK).groupBy("cell").applyInPandas(_verified(similarity, radius), "a long, b long")
+    return found.unionAll(seen.where("hub and node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")))
+
+
 def _texts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Normalised texts of the wanted lines of each document."""
     for part in slices(frames):
@@ -322,7 +410,7 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, radius: int
     tidy(spark)
     members = _members(rows, nodes, _candidates(nodes, similarity, radius))
     tidy(spark)
-    fuzzy = connected(cells(members, "root", "node", BLOCK).groupBy("cell").applyInPandas(_verified(similarity, radius), "a long, b long"))
+    fuzzy = connected(_verified_links(members, similarity, radius))
     tidy(spark)
     kept = (nodes.join(fuzzy, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first")
             .join(nodes.join(fuzzy, "node").groupBy("root").agg(F.min("first").alias("best")), "root", "left")
@@ -338,7 +426,7 @@ def _candidates(nodes: DataFrame, similarity: float, radius: int) -> DataFrame:
     step = max(ROUND, ROUND_ROWS // max(n, 1))
     links = None
     for first in range(0, len(blocks), step):
-        found = written(_links(nodes, blocks[first:first + step], first, radius, similarity), "line-links")
+        found = written(_links(nodes, blocks[first:first + step], first, radius, similarity, n), "line-links")
         links = found if links is None else links.unionAll(found)
         tidy(spark)
     groups = connected(links)
@@ -346,27 +434,23 @@ def _candidates(nodes: DataFrame, similarity: float, radius: int) -> DataFrame:
     return settled(groups.unionAll(twins.join(groups.select("node"), "node", "left_anti").select("node", F.col("node").alias("root"))))
 
 
-def _links(nodes: DataFrame, blocks: np.ndarray, first: int, radius: int, similarity: float = SIMILARITY) -> DataFrame:
-    """a, b: SimHashes that meet in some blocks."""
-    def met(of: DataFrame) -> DataFrame:
-        return of.mapInPandas(_values(blocks, first), ", ".join(f"{c} long" for c in SIMS) + ", length int, values array<long>").select(
-            *SIMS, "length", F.explode("values").alias("value"))
-
+def _links(nodes: DataFrame, blocks: np.ndarray, first: int, radius: int, similarity: float = SIMILARITY, n: int | None = None) -> DataFrame:
+    """a, b: SimHashes that meet in some blocks. n: the number of nodes, where it is known."""
+    n = nodes.count() if n is None else n
     own = nodes.select(*SIMS, "length")
-    # A value of HOT nodes has HOT / SAMPLE in the sample on average; a few more or less are decided either way, with the same pairs found.
-    hot = settled(met(own.where(F.pmod(F.xxhash64("sim0", F.lit(5)), F.lit(SAMPLE)) == 0)).groupBy("value").agg(F.count("*").alias("n"))
-                  .where(F.col("n") * SAMPLE >= HOT).select("value"))
-    some = hot.count()
-    rows = met(own)
-    cold = rows if not some else rows.join(F.broadcast(hot), "value", "left_anti")
-    # The block's number and value, then the length, so that sorting puts lines of like length side by side.
-    near = (cold.withColumn("block", F.shiftleft("value", 24) + F.least("length", F.lit((1 << 24) - 1)))
-            .repartition("value").sortWithinPartitions("block").select(*SIMS, "block").mapInPandas(_met(radius, similarity), "a long, b long"))
-    if not some:
-        return near
-    shared = rows.join(F.broadcast(hot), "value").select("value", F.col("sim0").alias("a"))
-    least = shared.groupBy("value").agg(F.min("a").alias("b"))
-    return near.unionAll(shared.join(F.broadcast(least), "value").select("a", "b").where("a <> b"))
+    # A value of `hot` nodes has hot / SAMPLE in the sample on average; a few more or less are decided either way, with the same pairs found.
+    least = max(HOT, n * len(blocks) // HOT_VALUES)
+    sample = own.where(F.pmod(F.xxhash64("sim0", F.lit(5)), F.lit(SAMPLE)) == 0)
+    found = (sample.mapInPandas(_sampled(blocks, first), "block int, value long, n long, b long").groupBy("block", "value")
+             .agg(F.sum("n").alias("n"), F.min("b").alias("b")).where(F.col("n") * SAMPLE >= least).toPandas())
+    hot = {int(k): (f["value"].to_numpy(np.int64), f["b"].to_numpy(np.int64)) for k, f in found.sort_values("value").groupby("block")}
+    ranges = min(1 << len(blocks[0]), n // RUN + 1)
+    dealt = own.mapInPandas(_dealt(blocks, first, ranges, nodes.sparkSession.sparkContext.broadcast(hot)), "bucket long, rows binary")
+    if hot:
+        dealt = written(dealt, "line-blocks")
+    near = (dealt.where("bucket >= 0").repartition(max(width(nodes.sparkSession), min(ranges * len(blocks), n * len(blocks) // TASK_ROWS)), "bucket")
+            .groupBy("bucket").applyInPandas(_met(blocks, first, ranges, radius, similarity), "a long, b long"))
+    return near.unionAll(dealt.where("bucket < 0").mapInPandas(_stars, "a long, b long")) if hot else near
 
 
 def _members(rows: DataFrame, nodes: DataFrame, candidates: DataFrame) -> DataFrame:
