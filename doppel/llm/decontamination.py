@@ -2,16 +2,19 @@
 
 Texts and items are compared as sequences of words (lower case, no ASCII punctuation). A window as long as an item is embedded by a
 random walk that copies the word it stands on and moves on or stays by a random bit of the word and the step, so that edits become
-a Hamming distance. REPEATS walks, each with SAMPLED sampled places of the embedded string as its hash, compare a window
-with the item; whatever agrees in one of them is verified exactly: the least number of word edits between the item and
+a Hamming distance. Some walks, each with SAMPLED sampled places of the embedded string as its hash, compare a window
+with the item. Places lie where a walk still stands on a word, so unrelated windows agree only where they share words. The
+number of walks is what RECALL needs at the most edits allowed, found on random edits (`repeats_of`). Whatever agrees in one walk is verified exactly: the least number of word edits between the item and
 any stretch of the text around the window.
 
 A match within k edits holds at least one of k + 1 pieces of the item unchanged, which also tells where the item would
-begin. Windows that no piece points at cannot match and are not embedded; this rule loses nothing.
+begin. Windows that no piece points at cannot match and are not embedded; this rule loses nothing. A match is lost, with a chance
+of at most 1 - RECALL where edits fall at random, only if no walk agrees for any of the windows its pieces point at.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +28,11 @@ from doppel.llm.lines import _PUNCTUATION
 from doppel.llm.words import Words, mix
 
 SIMILARITY = 0.8
-REPEATS = 24
 SAMPLED = 2
+RECALL = 0.995
+TRIALS = 400  # pairs of each size in which the number of walks is found
+SIZES = (8, 32, 128)  # words
+MOST_REPEATS = 256  # walks, even where the recall asks for more
 PAGE_CHARS = 4_000_000  # characters of items compared in one pass over the documents; bounds what is broadcast
 HITS = "array<struct<item_id: long, start: int, words: int, distance: int>>"
 
@@ -38,8 +44,8 @@ def split_words(texts: list[str]) -> Words:
 def embed(windows: np.ndarray, size: np.ndarray, repeat: int) -> np.ndarray:
     """A hash of the sampled places of the CGK embedding of each window; windows are rows, filled with zeros to a common width."""
     draw = np.random.Generator(np.random.PCG64([11, repeat]))
-    places = (draw.random(SAMPLED)[None, :] * (3 * size)[:, None]).astype(np.int64)
-    steps = draw.integers(0, 2 ** 64, 3 * windows.shape[1], np.uint64, endpoint=False)
+    places = (draw.random(SAMPLED)[None, :] * size[:, None]).astype(np.int64)
+    steps = draw.integers(0, 2 ** 64, windows.shape[1], np.uint64, endpoint=False)
     out = np.zeros((len(windows), SAMPLED), np.uint64)
     rows, at = np.arange(len(windows)), np.zeros(len(windows), np.int64)
     last = int(places.max(initial=-1))
@@ -54,6 +60,35 @@ def embed(windows: np.ndarray, size: np.ndarray, repeat: int) -> np.ndarray:
     return sig
 
 
+def edited(item: list[int], edits: int, rng: np.random.Generator) -> list[int]:
+    """The words after random replacements, insertions and deletions."""
+    own = list(item)
+    for _ in range(edits):
+        at, kind, word = int(rng.integers(0, len(own) + 1)), int(rng.integers(0, 3)), int(rng.integers(1, 2 ** 63))
+        if kind == 0 or at == len(own):
+            own.insert(at, word)
+        else:
+            own[at:at + 1] = [word] if kind == 1 else []
+    return own
+
+
+def repeats_of(similarity: float, recall: float = RECALL) -> int:
+    """The least number of walks, a multiple of 8, in which this share of windows agrees with the item at the most edits allowed."""
+    rng = np.random.Generator(np.random.PCG64(17))
+    rest = []
+    for size in SIZES:
+        items = rng.integers(1, 2 ** 63, (TRIALS, size))
+        others = [edited(x, math.floor((1 - similarity) * size + 1e-9), rng) for x in items.tolist()]
+        rest.append((items.astype(np.uint64), np.array([(x + [0] * size)[:size] for x in others], np.uint64), np.full(TRIALS, size)))
+    missed = [np.ones(TRIALS, bool) for _ in rest]
+    for r in range(MOST_REPEATS):
+        if r and r % 8 == 0 and all(m.mean() <= 1 - recall for m in missed):
+            return r
+        for m, (a, b, size) in zip(missed, rest):
+            m &= embed(a, size, r) != embed(b, size, r)
+    return MOST_REPEATS
+
+
 def best_match(item: list[int], text: list[int], most: int) -> tuple[int, int, int] | None:
     """Least edits between the item and any stretch of the text, with its start and end; the first such stretch. None above `most`."""
     before = [(0, j) for j in range(len(text) + 1)]
@@ -98,7 +133,7 @@ class Index:
         wide = np.zeros((len(self.items), max(1, self.widest)), np.uint64)
         for k, item in enumerate(self.items):
             wide[k, :len(item)] = item
-        self.signs = [embed(wide, self.size, r) for r in range(REPEATS)]
+        self.signs = [embed(wide, self.size, r) for r in range(repeats_of(similarity))]
 
     def windows(self, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Distinct (text, item, start) of the windows that a piece points at; starts count from the first word of all texts."""
@@ -131,8 +166,8 @@ class Index:
             inside = (place >= first[text][:, None]) & (place < (first + counts)[text][:, None]) & (place < (start + size)[:, None])
             wide = np.where(inside, hashes[np.clip(place, 0, len(hashes) - 1)], np.uint64(0))
             near = np.zeros(len(part), bool)
-            for r in range(REPEATS):
-                near |= embed(wide, size, r) == self.signs[r][item]
+            for r, signs in enumerate(self.signs):
+                near |= embed(wide, size, r) == signs[item]
             for t, k, s in part[near].tolist():
                 n, most = int(self.size[k]), int(self.most[k])
                 low, high = max(int(first[t]), s - most), min(int(first[t] + counts[t]), s + n + most)
