@@ -61,7 +61,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     stats = vectors.select(
         F.max(F.size("vector")).alias("dims"),
         F.max(F.expr("sqrt(aggregate(vector, 0D, (a, x) -> a + cast(x as double) * cast(x as double)))")).alias("norm")).first()
-    dims, norm = stats["dims"] or 0, stats["norm"] or 0.0
+    dims, norm = max(1, stats["dims"]) if stats["dims"] is not None else 0, stats["norm"] or 0.0  # empty vectors score 0
     at_once = max(1, min(2048, BLOCK_BYTES // (8 * max(1, dims))))
     asked = queries.dropDuplicates(["vec_id", "vector"]).withColumn("tie", F.xxhash64("vector"))
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
