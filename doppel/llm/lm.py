@@ -7,8 +7,8 @@ empty state reads every word. With c the training counts and K = SMOOTH,
 
     p(w | s) = m * c(s w) / c(s) + (1 - m) * p(w | suffix of s),   m = c(s) / (c(s) + K),   p(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)).
 
-A text is read once from left to right, from the state after an end. The state holds at most order - 1 words, so
-the texts of a batch are read side by side with numpy.
+The state before a token is the last order - 1 words, the first of a text follows an end. States and arcs are not built as tables: all positions
+of a batch are evaluated at once as interpolated look-ups of the counts of their n-grams, which gives the same probabilities.
 
 No part of the model is broadcast. Documents are dealt to blocks of bounded size. A block asks for the training counts of
 the distinct n-grams its texts hold, once each; counters, each responsible for a range of hashes, add up what all blocks
