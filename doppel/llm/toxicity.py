@@ -33,7 +33,7 @@ PRECISION = 0.7  # share of a term's documents that are toxic, smoothed
 STEM_PRECISION = 0.85  # the same for beginnings of words
 CHANCE = 1.0  # terms expected in the lexicon by chance, over all words tested
 FUZZY_FROM = 5  # characters a term has to be matched with one edit
-LONGEST = 40
+LONGEST = 40  # characters of a term
 STEMS = (4, 9)  # characters of the beginnings that may be terms
 WINDOW = 60  # characters on each side
 # Tried values: the weight of quoted terms, the probability a misspelled term stands for.
@@ -109,10 +109,11 @@ class TrieAutomaton:
     def match(self, words: list[str]) -> np.ndarray:
         """The probability of each word that is a term, NEAR for one that is within an edit of a term, else 0."""
         out = np.zeros(len(words))
-        rows = np.array([i for i, w in enumerate(words) if len(w) <= LONGEST + 1 and "\0" not in w], np.int64)
+        rows = np.array([i for i, w in enumerate(words) if "\0" not in w], np.int64)
         if not len(rows) or not len(self.letters):
             return out
-        text = np.array([words[i] for i in rows], "U")
+        # No term is longer than LONGEST, so of longer words only the beginning can be a term, which these characters tell.
+        text = np.array([words[i][:LONGEST + 2] for i in rows], "U")
         codes = text.view(np.uint32).reshape(len(rows), -1)
         at = np.minimum(np.searchsorted(self.letters, codes), len(self.letters) - 1)
         letters = np.where(self.letters[at] == codes, at, len(self.letters))
