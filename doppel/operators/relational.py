@@ -267,7 +267,7 @@ def draw(df: DataFrame, u: str, table: DataFrame, out: str) -> DataFrame:
     # Hash order spreads the values evenly over the slices of the running sum.
     ranked = hashed.select(F.lit("v").alias("column"), "value", "n", "_h")
     bucket = F.floor(F.col("_h") * slices).cast("int") if slices > 1 else None
-    cum = running_sums(ranked, ["column"], ["_h", "value"], {"upto": "n"}, bucket)
+    cum = running_sums(ranked, ["column"], ["_h", "value"], {"upto": "n"}, bucket, few_keys=True)
     # About as many slices as values, so a slice holds a few values and an even share of the draws.
     size = max(1, total // sizes["rows"])
     spans = cum.select("value", (F.col("upto") - F.col("n")).alias("_from"), F.col("upto").alias("_to")).withColumn(
@@ -300,7 +300,7 @@ def expand_children(parents: DataFrame, parent_id: str, count: str, child_id: st
     plan = plan_order(parents, {"id": col(parent_id).cast("double")}, buckets)
     bucket = bucket_of(F.lit("id"), col(parent_id).cast("double"), plan.bounds) if plan.bounds["id"] else None
     keyed = parents.withColumn("_all", F.lit(0))
-    placed = running_sums(keyed, ["_all"], [parent_id], {"_upto": count}, bucket).withColumn("_before", F.col("_upto") - col(count))
+    placed = running_sums(keyed, ["_all"], [parent_id], {"_upto": count}, bucket, few_keys=True).withColumn("_before", F.col("_upto") - col(count))
     placed = placed.drop("_all", "_upto", "_upto_total").filter(col(count) > 0)
     long = col(count) > EXPLODE_CHUNK
     few = placed.filter(~long).withColumn("position", F.explode(F.sequence(F.lit(1).cast("bigint"), col(count).cast("bigint"))))
