@@ -1,8 +1,11 @@
 """Steps whose cost or place of work once grew with the table."""
 
+import numpy as np
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
-from doppel.operators import integrity
+from doppel.operators import integrity, nearest
 
 
 def plan(df):
@@ -17,3 +20,27 @@ def test_totals_of_many_accounts_stay_off_the_driver(spark, tmp_path):
         out = integrity.check_running_balance(ledger, "account", "seq", 0.0, buckets=buckets)
         assert "Broadcast" not in plan(out)
         assert out.filter("valid and transactions_checked = 30 and closing_balance = 60").count() == 200
+
+
+def test_unclustered_vectors_meet_in_blocks(spark, monkeypatch):
+    """Where bounds cut off nothing, visits stay few; the rest is compared in blocks, with the same distances."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(0, 1, (900, 24))
+    table = spark.createDataFrame([(str(i), [float(v) for v in r]) for i, r in enumerate(x)], "id string, features array<double>")
+    visits = []
+    got = {r["id"]: r["distance"] for r in nearest.nearest_distance(table, table, True, cell_rows=20, visits=visits).collect()}
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    np.fill_diagonal(d, np.inf)
+    assert [got[str(i)] for i in range(len(x))] == pytest.approx(d.min(axis=1).tolist(), rel=1e-12)
+    assert sum(visits) <= 10 * len(x)  # all would be over 45 each
+
+
+def test_visits_are_handed_on_in_pieces():
+    x = np.random.default_rng(9).normal(0, 1, (600, 8))
+    tree = nearest.Centres(x, np.zeros((600, 0), np.int64))
+    stats = pd.DataFrame({"cell": range(600), "near": 0.0, "far": 1.0, "wide": 9.0, "low": list(tree.x - 1), "high": list(tree.x + 1)})
+    shared = type("Shared", (), {"value": nearest.Bounds(tree, stats, np.ones(600, np.int64))})
+    part = pd.DataFrame({"id": [str(i) for i in range(256)], "features": list(x[:256]), "labels": [np.zeros(0, np.int64)] * 256, "home": -1,
+                         "d2": np.inf, "at": -1.0, "at_cell": -1})
+    sizes = [len(f) for f in nearest._routed(shared, 2048)([part])]
+    assert sum(sizes) == 256 * 600 and max(sizes) <= nearest.ROUTED_ROWS
