@@ -129,7 +129,7 @@ def value_distribution(df: DataFrame, names: list[str]) -> DataFrame:
 def _price_cdf(items: DataFrame, category: str, price: str, buckets: int | None = None) -> DataFrame:
     values = {"price": numeric(items, price)}
     kept = items.filter(col(category).isNotNull())
-    plan = plan_order(kept, values, buckets)
+    plan = plan_order(kept, values, buckets, counted=True)
     hist = histogram(kept, values, {"category": col(category).cast("string")})
     return cumulative_histogram(hist, plan, ["column", "category"])
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from doppel.operators import integrity, nearest
+from doppel.operators import order_stats as order
 
 
 def plan(df):
@@ -44,3 +45,28 @@ def test_visits_are_handed_on_in_pieces():
                          "d2": np.inf, "at": -1.0, "at_cell": -1})
     sizes = [len(f) for f in nearest._routed(shared, 2048)([part])]
     assert sum(sizes) == 256 * 600 and max(sizes) <= nearest.ROUTED_ROWS
+
+
+def test_order_of_counted_values_takes_one_pass(spark):
+    df = spark.range(1000).select((F.col("id") % 50).cast("double").alias("v"))
+    assert order.plan_order(df, {"v": F.col("v")}, counted=True).bounds["v"] == []
+    assert len(order.plan_order(df, {"v": F.col("v")}, 4, counted=True).bounds["v"]) == 3
+
+
+def test_one_column_of_many_values_is_looked_up_without_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(order, "BROADCAST_VALUES", 100)
+    plan_of = order.OrderPlan(1000, distinct={"a": 400, "b": 90, "c": 450, "d": 90})
+    assert order.long_columns(plan_of, list("abcd")) == ["a", "c"]
+    assert order.long_columns(plan_of, ["a", "b"]) == []
+    df = spark.range(1000).select("id", (F.col("id") % 400).cast("double").alias("a"))
+    made = order.plan_order(df, {"a": F.col("a")}, counted=True)
+    out = order.attach_ranks(df, {"a": "a"}, order.rank_tables(df, {"a": F.col("a")}, made), made, ["below"])
+    assert "SortMergeJoin" not in plan(out)
+    assert out.filter("id < 200").agg(F.sum("below_0")).first()[0] == sum(3 * i for i in range(200))
+
+
+def test_melt_makes_no_arrays(spark):
+    df = spark.createDataFrame([(1, 2.0, None), (2, None, 4.0)], "side int, `a.b` double, value double")
+    long = order.melt(df, {"a.b": F.col("`a.b`"), "value": F.col("value")}, {"side": F.col("side")})
+    assert sorted(map(tuple, long.collect())) == [(1, "a.b", 2.0), (2, "value", 4.0)]
+    assert "Generate" not in plan(long)
