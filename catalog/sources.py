@@ -64,11 +64,14 @@ def json_wrapped(spark, d):
     return readers.read_json_records(spark, path, lines=True)
 
 
+FILES_A_TASK = 50
+
+
 def documents_of(rows, key, struct, before: str, after: str, path: str) -> None:
-    """Text files of a JSON document each, over several lines, with the rows of 200 keys."""
+    """Text files of a JSON document each, over several lines, with the rows of 200 keys; about FILES_A_TASK of them by a task."""
     made = rows.withColumn("doc", F.floor(F.col(key) / 200)).groupBy("doc").agg(F.array_sort(F.collect_list(F.to_json(struct))).alias("r"))
     text = F.concat(F.lit(before), F.array_join("r", ",\n"), F.lit(after)).alias("value")
-    made.select("doc", text).repartition("doc").write.partitionBy("doc").text(path)
+    made.select("doc", text).repartition(1 + rows.count() // (200 * FILES_A_TASK), "doc").write.partitionBy("doc").text(path)
 
 
 def json_array(spark, d):

@@ -75,6 +75,11 @@ def read_json_records(spark: SparkSession, path: str, lines: bool = False, schem
     should be one record per line: pass `lines`.
     """
     reader = spark.read.option("multiLine", not lines)
+    if schema is None and not lines:
+        # Spark finds the schema of many small files in one task; their texts lie in tasks of a few files each.
+        found = spark.read.json(spark.read.text(path, wholetext=True).select("value").rdd.map(lambda r: r[0])).schema
+        # Broken documents and those in another encoding are left to Spark.
+        schema = None if spark.conf.get("spark.sql.columnNameOfCorruptRecord") in found.names else found
     df = reader.schema(schema).json(path) if schema is not None else reader.json(path)
     return flatten(records_of(df))
 

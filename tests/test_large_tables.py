@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from doppel.operators import integrity, nearest
 from doppel.operators import order_stats as order
+from doppel.sources import readers
 
 
 def plan(df):
@@ -70,3 +71,24 @@ def test_melt_makes_no_arrays(spark):
     long = order.melt(df, {"a.b": F.col("`a.b`"), "value": F.col("value")}, {"side": F.col("side")})
     assert sorted(map(tuple, long.collect())) == [(1, "a.b", 2.0), (2, "value", 4.0)]
     assert "Generate" not in plan(long)
+
+
+def test_schema_of_many_json_files_is_found_by_several_tasks(spark, tmp_path):
+    for i in range(24):
+        (tmp_path / f"{i}.json").write_text('[\n{"id": %d, "at": {"x": "a"}},\n{"id": 1%s}\n]' % (i, ', "late": 1.5' if i == 23 else ""))
+    sc = spark.sparkContext
+    sc.setJobGroup("json", "json")
+    try:
+        out = readers.read_json_records(spark, str(tmp_path))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    status = sc.statusTracker()
+    stages = [status.getStageInfo(s) for j in status.getJobIdsForGroup("json") for s in status.getJobInfo(j).stageIds]
+    assert max(s.numTasks for s in stages if s) > 1
+    assert set(out.columns) == {"id", "late", "at.x"} and out.count() == 48
+    assert out.filter("late = 1.5").count() == 1 and out.filter("`at.x` = 'a'").count() == 24
+
+
+def test_json_in_another_encoding(spark, tmp_path):
+    (tmp_path / "a.json").write_bytes('[\n{"id": 1, "x": "ä"}\n]'.encode("utf-16"))
+    assert readers.read_json_records(spark, str(tmp_path)).collect() == [(1, "ä")]
