@@ -17,7 +17,7 @@ from doppel.functions.normal import add_norm_ppf, interp_grid, round_even
 from doppel.functions.rng import cumulative, interval_pick, pick, uniform, uniform_int
 from doppel.operators import generate
 from doppel.operators.order_stats import (
-    EXPLODE_CHUNK, OrderPlan, bucket_of, cumulative_histogram, grid_quantiles, histogram, medians, plan_order,
+    EXPLODE_CHUNK, MAX_BUCKETS, OrderPlan, bucket_of, cumulative_histogram, grid_quantiles, histogram, medians, plan_order,
     running_sums,
 )
 
@@ -29,6 +29,8 @@ SPREAD = 1000           # a key of more than one in so many rows is looked up in
 DEFAULT_QUANTITIES = [1, 2]
 DEFAULT_PRICES = (10.0, 100.0)
 HASH_BUCKET_ROWS = 2_000_000
+PARENT_ROWS = 50_000    # parents put in order in one task, which also makes the rows of their children
+EXPAND_TASKS = 4096
 # Windows of generated dates and fallbacks of unlearned parts.
 SIGNUP_FROM, SIGNUP_DAYS = date(2021, 1, 1), 1100
 ORDER_FROM, ORDER_DAYS = date(2023, 1, 1), 700
@@ -295,12 +297,15 @@ def spread_lookup(df: DataFrame, table: DataFrame, keys: list[str], share: str,
 def expand_children(parents: DataFrame, parent_id: str, count: str, child_id: str, buckets: int | None = None) -> DataFrame:
     """One row per child with a dense id from 1 in parent order: child_id, the parent columns, `position`.
 
-    A parent with very many children is cut into runs that are spread over tasks.
+    Parents are written once, as several passes read them, and put in order in ranges of about PARENT_ROWS: children are made where
+    their parents lie. A parent with very many children is cut into runs that are spread over tasks.
     """
-    plan = plan_order(parents, {"id": col(parent_id).cast("double")}, buckets)
+    parents = stored(parents)
+    wanted = buckets or min(MAX_BUCKETS, -(-parents.count() // PARENT_ROWS))
+    plan = plan_order(parents, {"id": col(parent_id).cast("double")}, wanted)
     bucket = bucket_of(F.lit("id"), col(parent_id).cast("double"), plan.bounds) if plan.bounds["id"] else None
     keyed = parents.withColumn("_all", F.lit(0))
-    placed = running_sums(keyed, ["_all"], [parent_id], {"_upto": count}, bucket, few_keys=True).withColumn("_before", F.col("_upto") - col(count))
+    placed = running_sums(keyed, ["_all"], [parent_id], {"_upto": count}, bucket, few_keys=True, tasks=min(wanted, EXPAND_TASKS)).withColumn("_before", F.col("_upto") - col(count))
     placed = placed.drop("_all", "_upto", "_upto_total").filter(col(count) > 0)
     long = col(count) > EXPLODE_CHUNK
     few = placed.filter(~long).withColumn("position", F.explode(F.sequence(F.lit(1).cast("bigint"), col(count).cast("bigint"))))
@@ -362,17 +367,18 @@ def generate_items(orders: DataFrame, model: RelationalModel, seed: int = 42) ->
     rows = draw(draw(rows, "_category", categories, "category"), "_quantity", model.quantity, "quantity")
     total = categories.agg(F.sum("n")).first()[0] or 1
     shares = categories.select(F.col("value").alias("category"), (F.col("n") / F.lit(float(total))).alias("_share"))
-    about = shares.join(model.prices.groupBy("category").agg(F.array_sort(F.collect_list(F.struct("i", "q"))).alias("_t")), "category", "left")
+    about = shares.join(model.prices.groupBy("category").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("i", "q"))), lambda t: t["q"]).alias("_t")), "category", "left")
     products = None if model.products is None else stored(model.products)
     if products is not None:
         about = about.join(products.select("category", "size").distinct(), "category", "left")
     about = stored(about)  # one row a category
     rows = spread_lookup(rows, about, ["category"], "_share", "item_id")
-    price = F.coalesce(round_even(interp_grid(F.col("_price"), F.transform("_t", lambda t: t["q"]), PRICE_POINTS), 2), F.lit(50.0))
+    price = F.coalesce(round_even(interp_grid(F.col("_price"), F.col("_t"), PRICE_POINTS), 2), F.lit(50.0))
     if products is not None:
         rows = rows.withColumn("_pos", F.floor(F.col("_product") * F.col("size")) + 1)
-        named = products.join(about.select("category", "_share"), "category").select(
-            "category", F.col("position").alias("_pos"), F.col("product").alias("product_name"), (F.col("_share") / F.col("size")).alias("_share"))
+        named = stored(products.join(about.select("category", "_share"), "category").select(
+            "category", F.col("position").alias("_pos"), F.col("product").alias("product_name"), (F.col("_share") / F.col("size")).alias("_share")))
         rows = spread_lookup(rows, named, ["category", "_pos"], "_share", "item_id")
     else:
         rows = rows.withColumn("product_name", F.lit(None).cast("string"))

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from doppel.operators import integrity, nearest
+from doppel.operators import integrity, nearest, relational
 from doppel.operators import order_stats as order
 from doppel.sources import readers
 
@@ -92,3 +92,14 @@ def test_schema_of_many_json_files_is_found_by_several_tasks(spark, tmp_path):
 def test_json_in_another_encoding(spark, tmp_path):
     (tmp_path / "a.json").write_bytes('[\n{"id": 1, "x": "ä"}\n]'.encode("utf-16"))
     assert readers.read_json_records(spark, str(tmp_path)).collect() == [(1, "ä")]
+
+
+def test_children_of_many_parents_are_made_by_many_tasks(spark):
+    """The task that puts parents in order makes the rows of their children too, so few parents may share one."""
+    parents = spark.range(400_000).select(F.col("id").alias("p"), (F.col("id") % 4).alias("k"))
+    out = relational.expand_children(parents, "p", "k", "c")
+    sizes = [r["n"] for r in out.groupBy(F.spark_partition_id().alias("t")).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 600_000 and max(sizes) <= 300_000
+    ends = out.agg(F.min("c").alias("a"), F.max("c").alias("z"), F.countDistinct("c").alias("n")).first()
+    assert (ends["a"], ends["z"], ends["n"]) == (1, 600_000, 600_000)
+    assert out.where("p = 399999").agg(F.max("c")).first()[0] == 600_000
