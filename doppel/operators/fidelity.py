@@ -7,12 +7,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from doppel.checkpoint import stored
 from doppel.functions.columns import IDENTITY_TYPES, col, numeric
 from doppel.functions.normal import round_even
 from doppel.functions.rng import uniform
 from doppel.operators.order_stats import ROWS_PER_BUCKET, OrderPlan, bucket_of, melt, plan_order, running_sums
 from doppel.operators.profile import modelling_roles
 from doppel.operators.shaping import least_draws
+from doppel.session import spread
 
 BINS = 20
 TOP_SHARES = 15
@@ -175,7 +177,8 @@ def side_stats(both: DataFrame, names: list[str]) -> DataFrame:
 def compare_numeric(real: DataFrame, synth: DataFrame, names: list[str], buckets: int | None = None) -> DataFrame:
     """Means, spreads, KS, Wasserstein and their joint score per numeric column."""
     both = _numbers(real, synth, names)
-    cdf = _pooled(both, names, plan_order(both, _values(names), buckets, counted=True))
+    # Read by several aggregations, in tasks of its own size and not one for each column.
+    cdf = spread(stored(_pooled(both, names, plan_order(both, _values(names), buckets, counted=True))))
     joined = side_stats(both, names).join(ks_from(cdf), "column").join(wasserstein_from(cdf), "column")
     span = F.when(F.col("r_max") > F.col("r_min"), F.col("r_max") - F.col("r_min")).otherwise(F.lit(1.0))
 

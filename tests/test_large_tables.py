@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from doppel.operators import integrity, nearest, relational
+from doppel.operators import fidelity, integrity, nearest, relational
 from doppel.operators import order_stats as order
 from doppel.sources import readers
 
@@ -103,3 +103,11 @@ def test_children_of_many_parents_are_made_by_many_tasks(spark):
     ends = out.agg(F.min("c").alias("a"), F.max("c").alias("z"), F.countDistinct("c").alias("n")).first()
     assert (ends["a"], ends["z"], ends["n"]) == (1, 600_000, 600_000)
     assert out.where("p = 399999").agg(F.max("c")).first()[0] == 600_000
+
+
+def test_compare_numeric_counts_values_once(spark):
+    """Later steps read the counted values; the tables are read again for their means only."""
+    real, synth = (spark.range(3000).select(((F.col("id") * k) % 701).cast("double").alias("v")) for k in (3, 5))
+    out = fidelity.compare_numeric(real, synth, ["v"])
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 2
+    assert out.first()["real_max"] == 700
