@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from catalog.association import half_sql, matrices, matrix_sql
 from catalog.common import LINE_COLUMNS, LINE_LABELS, LINE_NUMERIC, LINE_TYPES, epoch, halves, rnd, s, table, u
 from catalog.generate import LINE_IDS
+from doppel.checkpoint import settled
 from doppel.operators import fidelity
 from doppel.operators.profile import modelling_roles
 
@@ -205,6 +206,7 @@ def scores(spark, d):
     whole = table(spark, d, "lineitem").select(*LINE_COLUMNS)
     roles = modelling_roles(real, LINE_TYPES)
     a, b, c = matrices(spark, d)
+    a = settled(a)  # compared with both others
     first = fidelity.composite(fidelity.shape_and_validity(real, synth, LINE_TYPES, roles), fidelity.relationship_fidelity(a, b))
     second = fidelity.composite(fidelity.shape_and_validity(real, whole, LINE_TYPES, roles), fidelity.relationship_fidelity(a, c))
     return fidelity.fidelity_score(first, second)

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from doppel.checkpoint import stored
+from doppel.checkpoint import settled, stored
 from doppel.functions.columns import IDENTITY_TYPES, col, numeric
 from doppel.functions.normal import round_even
 from doppel.functions.rng import uniform
@@ -445,7 +445,8 @@ def composite(shapes: DataFrame, relationship: DataFrame) -> DataFrame:
 
 def fidelity_score(synth: DataFrame, baseline: DataFrame) -> DataFrame:
     """Two composite rows (method copula, independent) with the improvement of the first on both."""
-    rows = synth.withColumn("method", F.lit("copula")).unionByName(baseline.withColumn("method", F.lit("independent")))
+    # Both the rows and their gain are read from here, so that all statistics are made once.
+    rows = settled(synth.withColumn("method", F.lit("copula")).unionByName(baseline.withColumn("method", F.lit("independent"))))
     gain = rows.agg(F.max(F.when(F.col("method") == "copula", F.col("total"))).alias("a"),
                     F.max(F.when(F.col("method") == "independent", F.col("total"))).alias("b"))
     gain = gain.select(round_even(F.col("a") - F.col("b"), 1).alias("improvement"), F.lit(1).alias("_k"))
