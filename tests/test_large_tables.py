@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from doppel.operators import fidelity, integrity, nearest, relational
+from doppel.operators import copula, fidelity, integrity, nearest, relational
 from doppel.operators import order_stats as order
 from doppel.sources import readers
 
@@ -111,3 +111,27 @@ def test_compare_numeric_counts_values_once(spark):
     out = fidelity.compare_numeric(real, synth, ["v"])
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 2
     assert out.first()["real_max"] == 700
+
+
+def test_scores_of_long_columns_move_little(spark, monkeypatch):
+    """Rows meet the long tables first, with labels in place of draws and nothing yet from the short tables; the scores stay the same."""
+    df = spark.range(3000).selectExpr("id", "id % 40 * 1.5 as a", "cast(pmod(xxhash64(id), 2500) as double) as b",
+                                      "case when id % 3 = 0 then 'x' else 'y' end as c")
+
+    def scores():
+        models, _, made = copula.fit_marginals(df, {"id": "id", "a": "float", "b": "float", "c": "categorical"})
+        return copula.normal_scores(df, models, ["id"], made)
+
+    whole = scores().toPandas().sort_values("id")
+    monkeypatch.setattr(order, "BROADCAST_VALUES", 300)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = scores()
+        text = plan(out)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert text.count("SortMergeJoin") == 1
+    above, below = text.split("SortMergeJoin")
+    assert "place:c" in above and "place:" not in below and above.count("BroadcastHashJoin") == 1
+    assert np.array_equal(out.toPandas().sort_values("id").to_numpy(), whole.to_numpy())
