@@ -46,3 +46,19 @@ def test_no_files_stay(spark: SparkSession):
     docs = spark.createDataFrame([*enumerate(base), *((100 + k, x + " ab") for k, x in enumerate(base))], "doc_id long, text string")
     assert lines.dedup_lines(docs).agg(F.sum("n_removed")).first()[0] == 20
     assert [x for x in set(folder.glob("*line*")) - before if list(x.glob("*.parquet"))] == []
+
+
+def test_lines_hold_no_sketches_while_texts_move(spark: SparkSession, monkeypatch):
+    """The sketches of all lines were on disk beside the shuffle of the texts."""
+    folder, found, members = Path(checkpoint_dir(spark).removeprefix("file:")), [], lines._members
+    before = set(folder.glob("*line*"))
+
+    def seen(rows, nodes, candidates):
+        made = set(folder.glob("*line*")) - before
+        found.extend(x.name.rsplit("-", 1)[0] for x in made if list(x.glob("*.parquet")) and "sim0" in spark.read.parquet(str(x)).columns)
+        return members(rows, nodes, candidates)
+
+    monkeypatch.setattr(lines, "_members", seen)
+    docs = spark.createDataFrame([(1, "one two three four five"), (2, "one two three four five six"), (3, "one two three four five")], "doc_id long, text string")
+    assert {r["did"] is not None for r in lines.repeated_lines(docs).collect()} == {True}
+    assert found == ["line-nodes"]
